@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only if its measured rows times their width stay below this.
 BROADCAST_BYTES = 24 << 20
@@ -76,11 +76,11 @@ def parts_for(df: DataFrame) -> int:
     return least if size > 1 << 60 else max(least, -(-size // PART_BYTES))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int = 64) -> DataFrame:
-    """Join a materialised side: broadcast below ``BROADCAST_BYTES`` by its count, else a shuffled join."""
-    if small.count() * row_bytes <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+def join_small(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: Column | int = 64) -> DataFrame:
+    """Join a materialised side: broadcast if its measured bytes stay below ``BROADCAST_BYTES``, else a shuffled join."""
+    width = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    size = small.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
 
 
 ROUTED = "part int, kind int, payload binary"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlake.llm import suffix_dedup
+from skeinlake.llm import decontaminate, doubling_dedup, setsketch, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,23 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_suffixes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
+def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.dedup_near(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling_dedup.dedup_doubling(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_setsketch_dedup": op4_setsketch_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op10_doubling_dedup": op10_doubling_dedup,
+}
 
 SQL: dict[str, str] = {}

@@ -147,5 +147,5 @@ def dedup_suffixes(
     input column named ``removed_tokens`` is replaced, other extra columns are kept.
     """
     with jobs.Scratch(docs.sparkSession) as tmp:
-        spans = tmp.keep(W.by_document(repeated_spans(docs, id_col, text_col)))
+        spans = tmp.keep(W.by_document(repeated_spans(docs, id_col, text_col), jobs.parts_for(docs)))
     return W.remove_spans(docs, spans, id_col, text_col, removed_col)

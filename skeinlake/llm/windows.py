@@ -13,8 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm import arrays as A
 from skeinlake.llm import jobs
@@ -79,10 +78,17 @@ def slice_runs(texts: pa.Array, doc: np.ndarray) -> Runs | None:
     right = grams[final[:, None] + wide].argmin(axis=1) + final
     win = A.span_hash(sums, idx, idx + WINDOW) >> A.U64(24)
     r = row[first]
-    return Runs(
-        value[first], doc[r], (begin - tok.first[r]).astype(np.int32), count.astype(np.int32), left != right,
-        A.span_hash(sums, begin, final + WINDOW), win,
-    )
+    runs = Runs(
+        value[first], doc[r], (begin - tok.first[r]).astype(np.int32), count.astype(np.int32), left != right, None, win
+    )
+    runs.hash = run_hash(runs)
+    return runs
+
+
+def run_hash(runs: Runs) -> np.ndarray:
+    """Equal for runs of equal windows."""
+    at = runs.at()
+    return A.span_hash(A.prefix(symbols(runs)), at, at + runs.count)
 
 
 def _pack(runs: Runs, parts: int) -> Iterator[tuple[int, int, bytes]]:
@@ -187,13 +193,24 @@ def span_batch(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Record
 SPANS = "doc_id bigint, start int, end int"
 
 
-def by_document(spans: DataFrame) -> DataFrame:
-    """One row a document: its spans in order."""
-    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+def by_document(spans: DataFrame, parts: int) -> DataFrame:
+    """One row a document: its spans in order, overlapping and touching ones merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
+        if got:
+            doc, start, end = A.merge_spans(*(np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(3)))
+            at, _ = A.runs_of(doc)
+            pairs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), lists], names=["doc_id", "__spans"])
+
+    kept = spans.select("doc_id", "start", "end").repartition(parts, "doc_id")
+    return kept.mapInArrow(run, "doc_id bigint, __spans array<struct<start:int,end:int>>")
 
 
 def _cut(text: str, start: np.ndarray, end: np.ndarray, spans: list[dict]) -> tuple[str, int]:
-    """Remove token spans with the white space after each; the rest stays byte for byte."""
+    """Remove token spans with what follows up to the next token; the rest stays byte for byte."""
     raw = text.encode()
     out, at, removed, reach = [], 0, 0, 0
     for s in spans:
@@ -208,13 +225,15 @@ def _cut(text: str, start: np.ndarray, end: np.ndarray, spans: list[dict]) -> tu
     return b"".join(out).decode(), removed
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, removed_col: str) -> DataFrame:
+def remove_spans(
+    docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, removed_col: str, kind: np.ndarray = A.SPACED
+) -> DataFrame:
     """Cut spans out of texts. Documents without spans never leave the JVM; a document of which nothing
     but white space is left is dropped. ``removed_col`` counts the tokens cut; a column of that name is replaced."""
     cols = [c for c in docs.columns if c != removed_col]
     keyed = docs.select(*cols, F.col(id_col).cast("bigint").alias("__doc"))
     spans = spans.withColumnRenamed("doc_id", "__doc")
-    marked = jobs.join_small(keyed, spans, "__doc", "left", row_bytes=160).select(*cols, "__spans")
+    marked = jobs.join_small(keyed, spans, "__doc", "left", 64 + 40 * F.size("__spans")).select(*cols, "__spans")
     clean = marked.where(F.col("__spans").isNull()).select(*cols, F.lit(0).cast("int").alias(removed_col))
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +243,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str,
             spans_of = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
             new, gone = [], []
             for at, part in A.slices(texts):
-                tok = A.Tokens(part, hashed=False)
+                tok = A.Tokens(part, kind, hashed=False)
                 for i, text in enumerate(part.to_pylist()):
                     a, b = tok.first[i], tok.first[i + 1]
                     base = tok.offsets[i]
