@@ -88,7 +88,7 @@ def pack(
 ) -> DataFrame:
     """(bin, doc_id, piece, first_token, tokens) for every piece of every text.
 
-    Tokens are runs of non-space bytes. No bin exceeds ``capacity``, and no two pieces in a bin share a source or
+    Tokens are split at ASCII white space. No bin exceeds ``capacity``, and no two pieces in a bin share a source or
     a duplicate cluster: ``cluster_col``, or else equal words after normalisation. Null sources are one
     source. Null ids and texts without a token are not packed. Ties of length go by doc_id and piece.
     Rows that repeat a doc_id are packed one by one. An empty table gives no bins; extra columns don't matter.

@@ -10,6 +10,7 @@ from skeinlake.llm import (
     doubling_dedup,
     html_extract,
     language,
+    oracle,
     packing,
     quality,
     setsketch,
@@ -79,4 +80,8 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_suffix_dedup": oracle.REPEATS,
+    "op4_setsketch_dedup": oracle.NEAR,
+    "op5_decontaminate": oracle.LEAKS,
+}
