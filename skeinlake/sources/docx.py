@@ -228,7 +228,7 @@ def markdown(pages: list[list[Run | Table]]) -> list[str]:
                 text += ("**" if bold else "") + "\n\n"
                 level, bold = levels[r.size], False
                 text += "#" * level + " " if level < 4 else ""
-            if r.size >= 0 and r.bold != bold:
+            if r.bold != bold:  # breaks and tabs are never bold
                 text += "**"
                 bold = r.bold
             text += _escape(r.text).replace("|", r"\|")

@@ -104,8 +104,9 @@ def test_leiden_finds_cliques():
 
 def test_hierarchy_divides_large():
     g = random_graph(4, 90, 0.7)
-    levels = L.hierarchy(g, 0.01)
-    assert len(levels) <= L.MAX_DEPTH
+    assert L.hierarchy(g, 0.01) == [[list(range(90))]]  # in one piece at twice the resolution too: that ends it
+    levels = L.hierarchy(g, 0.2)
+    assert 1 <= len(levels) <= L.MAX_DEPTH
     for above, below in zip(levels, levels[1:]):
         for c in below:
             assert any(set(c) <= set(a) for a in above)

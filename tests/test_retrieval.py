@@ -1,11 +1,15 @@
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from skeinlake import config, providers
 from skeinlake.operators import filters, fulltext, ranking, retrieval, similarity, text_to_query as t2q
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
+
 
 @pytest.fixture(scope="module")
 def vectors(spark):
