@@ -25,9 +25,6 @@ from skeinlake.llm import jobs
 
 ORDER = 4
 BOS, OTHER = 2, 3
-#: N-grams of the model that workers hold (about 60 bytes each for four languages). Where a corpus has more, the
-#: rarest counts go first until it fits; everything is counted before that.
-MODEL_NGRAMS = 8_000_000
 GRAM = np.dtype([("lang", "<i4"), ("key", "<u8"), ("count", "<i8")])
 _FLUSH = 6_000_000
 
@@ -168,37 +165,34 @@ class KneserNey:
             g, k = g[order], k[order]
             at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])) if len(k) else np.zeros(0, np.int64)
             tables[n] = (g[at], k[at], np.diff(np.append(at, len(k))).astype(np.float64))
-        letters = max(1, len(set(tables[1][1].tolist())))
-        below = np.full((1, languages), 1.0 / (letters + 1))
+        letters = max(1, len(np.unique(tables[1][1])))
         finder: HashArray | None = None
         self.floor = float(np.log(1.0 / (letters + 1)))
         for n in range(1, ORDER + 1):
             g, k, c = tables[n]
-            own = np.array(sorted(set(k.tolist())), np.uint64)
+            own = np.unique(k)
             here = HashArray(own)
             keys = own[here.order]
-            ctx = np.array(sorted(set((own >> A.U64(16)).tolist())), np.uint64) if n > 1 else np.zeros(1, np.uint64)
+            ctx = np.unique(own >> A.U64(16)) if n > 1 else np.zeros(1, np.uint64)
             contexts = HashArray(ctx)
-            row, crow = here.find(k), contexts.find(k >> A.U64(16) if n > 1 else np.zeros(len(k), np.uint64))
-            counts = np.zeros((len(own), languages))
-            counts[row, g] = c
-            total, kinds = np.zeros((len(ctx), languages)), np.zeros((len(ctx), languages))
-            np.add.at(total, (crow, g), c)
-            np.add.at(kinds, (crow, g), 1)
-            discount = np.empty(languages)
-            for x in range(languages):
-                one, two = np.count_nonzero(c[g == x] == 1), np.count_nonzero(c[g == x] == 2)
-                discount[x] = one / (one + 2 * two) if one and two else 0.5
-            known = total > 0
-            weight = np.where(known, discount * kinds / np.maximum(total, 1), 1.0)
             of = contexts.find(keys >> A.U64(16) if n > 1 else np.zeros(len(keys), np.uint64))
-            if finder is None:
-                short = np.repeat(below, len(keys), axis=0)
-            else:
-                short = np.exp(self.logp[n - 1][1][finder.find(keys & A.U64((1 << 16 * (n - 1)) - 1))])
-            p = np.where(known[of], np.maximum(counts - discount, 0) / np.maximum(total[of], 1), 0.0) + weight[of] * short
-            self.logp[n] = (here, np.log(p).astype(np.float32))
-            self.back[n] = (contexts, np.log(weight).astype(np.float32))
+            below = None if finder is None else finder.find(keys & A.U64((1 << 16 * (n - 1)) - 1))
+            logp, back = np.empty((len(own), languages), np.float32), np.empty((len(ctx), languages), np.float32)
+            for x in range(languages):  # one language at a time, as the table may be large
+                kx, cx = k[g == x], c[g == x]
+                crow = contexts.find(kx >> A.U64(16) if n > 1 else np.zeros(len(kx), np.uint64))
+                counts = np.zeros(len(own))
+                counts[here.find(kx)] = cx
+                total, kinds = np.bincount(crow, cx, len(ctx)), np.bincount(crow, minlength=len(ctx))
+                one, two = np.count_nonzero(cx == 1), np.count_nonzero(cx == 2)
+                discount = one / (one + 2 * two) if one and two else 0.5
+                known = total > 0
+                weight = np.where(known, discount * kinds / np.maximum(total, 1), 1.0)
+                short = 1.0 / (letters + 1) if below is None else np.exp(self.logp[n - 1][1][below, x])
+                p = np.where(known[of], np.maximum(counts - discount, 0) / np.maximum(total[of], 1), 0.0) + weight[of] * short
+                logp[:, x], back[:, x] = np.log(p), np.log(weight)
+            self.logp[n] = (here, logp)
+            self.back[n] = (contexts, back)
             finder = here
 
     def score(self, key: np.ndarray) -> np.ndarray:
@@ -228,14 +222,10 @@ class KneserNey:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], KneserNey]:
-    """Languages in order, and their models, from all labelled rows."""
+    """Languages in order, and their models, from all labelled rows and all their n-grams."""
     langs = [r[0] for r in docs.select(F.col(lang_col).cast("string")).where(F.col(lang_col).isNotNull()).distinct().orderBy(lang_col).collect()]
     with jobs.Scratch(docs.sparkSession) as tmp:
-        counts = tmp.save(count_ngrams(docs, text_col, lang_col, langs, jobs.parts_for(docs)))
-        least = 1
-        while counts.where(F.col("count") >= least).count() > MODEL_NGRAMS:
-            least += 1
-        got = counts.where(F.col("count") >= least).toArrow()
+        got = tmp.save(count_ngrams(docs, text_col, lang_col, langs, jobs.parts_for(docs))).toArrow()
     lang, key, count = (got.column(i).to_numpy() for i in range(3))
     return langs, KneserNey(lang, key.astype(np.int64).view(np.uint64), count, len(langs))
 

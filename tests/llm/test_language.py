@@ -133,3 +133,18 @@ def test_hash_array():
     assert (h.order[at] == np.arange(len(keys))).all()
     assert (h.find(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
     assert (L.HashArray(keys[:0]).find(keys[:3]) == -1).all()
+
+
+def test_no_ngram_is_dropped(spark, monkeypatch):
+    """However many n-grams there are, the model has all of them, the rare ones of a small language too."""
+    monkeypatch.setattr(L, "MODEL_NGRAMS", 300, raising=False)
+    r = random.Random(4)
+    rows = [(i, sentence(r, "aa", 30), "aa") for i in range(60)] + [(100 + i, f"{sentence(r, 'bb', 3)} x{i}q", "bb") for i in range(3)]
+    langs, model = L.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    norm = lambda t: chr(L.BOS) * (L.ORDER - 1) + " ".join(t.lower().split())
+    grams = {s[i : i + L.ORDER] for _, t, _ in rows for s in [norm(t)] for i in range(len(s) - L.ORDER + 1)}
+    assert len(grams) > 300 and len(model.logp[L.ORDER][1]) == len(grams)
+    plain = [Plain([norm(t)[L.ORDER - 1 :] for _, t, g in rows if g == x], len({g[-1] for g in grams})) for x in langs]
+    grams = sorted(grams)
+    key = np.array([sum(ord(c) << 16 * (L.ORDER - 1 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
+    assert np.allclose(model.score(key), [[math.log(m.p(g)) for m in plain] for g in grams], atol=1e-4)
