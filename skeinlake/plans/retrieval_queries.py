@@ -38,6 +38,12 @@ def knn_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def knn_all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of the table as a query; ``knn_multi_query`` is the same search for the eight of its SQL."""
+    hits = similarity.vector_topk_all(_corpus(spark, sf_dir), k=5)
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 def cosine_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corpus(spark, sf_dir)
     rows = rows.where(filters.compile_filter({"label": {"$in": [1, 3, 5]}, "vec_id": {"$gte": 10}}, rows.columns))
@@ -103,8 +109,8 @@ def global_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    knn_topk, knn_cutoff, knn_multi_query, cosine_topk_filtered, influence_rank, fulltext_rank, fulltext_postings, hybrid_rank, expansion_rank,
-    sentinel_when_empty, global_blocks, global_answers,
+    knn_topk, knn_cutoff, knn_multi_query, knn_all_queries, cosine_topk_filtered, influence_rank, fulltext_rank, fulltext_postings, hybrid_rank,
+    expansion_rank, sentinel_when_empty, global_blocks, global_answers,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 

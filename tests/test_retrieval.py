@@ -1,4 +1,5 @@
 import json
+import random
 import sys
 
 import pytest
@@ -201,3 +202,23 @@ def test_config():
 def test_chat():
     history = [{"role": "user", "content": "a"}, {"role": "robot", "content": "b"}, {"role": "assistant", "content": ""}]
     assert [m["role"] for m in providers.create_chat("p", "s", history)] == ["system", "user", "user", "user"]
+
+
+def test_every_row_is_a_query(spark, monkeypatch):
+    """All rows against brute force, over several blocks; ties, nulls and other lengths too."""
+    from skeinlake.plans import retrieval_queries as Q
+
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(similarity, "STEP_SCORES", 20)
+    r = random.Random(8)
+    vectors = {i: [r.randrange(3) / 2 for _ in range(3)] for i in range(40)} | {90: [1.0, 2.0], 91: [0.0, 0.5], 92: None, 93: [1.0, None, 2.0]}
+    table = spark.createDataFrame([(i, v, i % 3) for i, v in vectors.items()], "vec_id bigint, embedding array<float>, label int")
+    monkeypatch.setattr(Q, "_table", lambda *_: table)
+    got = {}
+    for x in Q.knn_all_queries(spark, "").collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    good = {i: v for i, v in vectors.items() if v and None not in v}
+    assert set(got) == set(good)
+    for i, v in good.items():
+        near = sorted((sum((x - y) ** 2 for x, y in zip(v, w)), j) for j, w in good.items() if len(w) == len(v))[:5]
+        assert sorted(got[i]) == [(n, j, round(1 / (1 + d), 6)) for n, (d, j) in enumerate(near, 1)]
