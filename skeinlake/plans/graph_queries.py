@@ -3,9 +3,9 @@ parts are entities, an order is the chunk that mentions them, its status is the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from skeinlake.operators import communities as C, graph as G, leiden
+from skeinlake.operators import communities as C, graph as G, leiden, similarity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,14 +148,18 @@ def community_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rollup(C.community_tables(_hierarchy(spark, sf_dir)).where("level <= 1"), facts, "chunk_id")
 
 
+def _near(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """Each vector's ``k`` nearest others of the whole table by Euclidean distance, exactly; ties go to the smaller id."""
+    hits = similarity.vector_topk_all(_table(spark, sf_dir, "embeddings"), k + 1).where("query_id <> vec_id")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    name = lambda c: F.concat(F.lit("E"), F.format_string("%08d", c))
+    rows = hits.withColumn("place", place).where(F.col("place") <= k)
+    return rows.select(name("query_id").alias("src"), name("vec_id").alias("dst"), F.lit(1.0).alias("weight"))
+
+
 def leiden_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of Leiden communities of the graph of near vectors: each to its nearest of the same label by dot product."""
-    emb = _table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull())
-    rows = emb.select(F.concat(F.lit("E"), F.format_string("%08d", "vec_id")).alias("v"), "label", F.posexplode("embedding").alias("axis", "x"))
-    top = rows.groupBy("v", "label").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.abs("x")).alias("a"), "axis")), True), 1, 3).alias("t"))
-    keyed = top.select("v", F.explode(F.transform("t", lambda t: F.concat_ws(":", F.col("label"), t["axis"]))).alias("key"))
-    edges = keyed.select(F.col("v").alias("src"), F.col("key").alias("dst"), F.lit(1.0).alias("weight"))
-    return leiden.leiden_communities(edges).groupBy("level", "community").agg(F.count("*").alias("size"))
+    """Sizes of Leiden communities of the graph of near vectors: each is joined to its three nearest, whatever their labels."""
+    return leiden.leiden_communities(_near(spark, sf_dir)).groupBy("level", "community").agg(F.count("*").alias("size"))
 
 
 _FUNCTIONS = (

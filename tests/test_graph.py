@@ -185,3 +185,20 @@ def test_global_index(spark):
     got = [(r.x, r.i) for r in R.global_index(df, ["x"], "i").collect()]
     assert [x for x, _ in sorted(got, key=lambda t: t[1])] == sorted(x for x, _ in got)
     assert sorted(i for _, i in got) == list(range(200))
+
+
+def test_graph_of_near_vectors(spark, monkeypatch):
+    """Edges join nearest vectors, by brute force, not vectors of like axes; nothing but vectors is in a community."""
+    from skeinlake.plans import graph_queries as Q
+
+    r = random.Random(6)
+    vectors = {i: [(1 if i % 2 else -1) * (3 - x) + r.random() / 4 for x in range(4)] for i in range(24)}
+    table = spark.createDataFrame([(i, v, i % 3) for i, v in vectors.items()], "vec_id bigint, embedding array<double>, label int")
+    monkeypatch.setattr(Q, "_table", lambda *_: table)
+    sizes = Q.leiden_hierarchy(spark, "").collect()
+    assert all(sum(x.size for x in sizes if x.level == n) == len(vectors) for n in {x.level for x in sizes})
+    want = set()
+    for i, v in vectors.items():
+        near = sorted((sum((x - y) ** 2 for x, y in zip(v, w)), j) for j, w in vectors.items() if j != i)[:3]
+        want |= {(f"E{i:08d}", f"E{j:08d}") for _, j in near}
+    assert {(e.src, e.dst) for e in Q._near(spark, "").collect()} == want
