@@ -45,12 +45,8 @@ def mention_edges_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mention_edges_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sparse cover where it is defined: nations and regions as entities, suppliers as chunks."""
-    nation = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    relations = nation.select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"), F.lit("lies in").alias("label"), F.lit(1).cast("bigint").alias("weight"))
-    supplier = _table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    mentions = supplier.select("s_name", F.explode(F.array("n_name", "r_name")).alias("entity")).groupBy("entity", F.col("s_name").alias("chunk_id")).agg(F.count("*").alias("cnt"))
-    return G.mention_edges_sparse(relations, mentions)
+    triples = _triples(spark, sf_dir)
+    return G.mention_edges_sparse(G.relation_weights(triples), G.entity_mentions(triples))
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,18 +130,33 @@ def vertex_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vertex", F.array_join(F.transform("communities", lambda x: x.cast("string")), "/").alias("path"))
 
 
-def two_level_edge_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers are linked by the parts that both deliver."""
     parts = _table(spark, sf_dir, "lineitem").select("l_partkey", F.format_string("S%06d", "l_suppkey").alias("v")).distinct()
     pairs = parts.select("l_partkey", F.col("v").alias("src")).join(parts.select("l_partkey", F.col("v").alias("dst")), "l_partkey").where("src <> dst")
-    edges = pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    members = C.community_tables(_hierarchy(spark, sf_dir)).where("level <= 2")
-    return C.community_edges(members, edges)
+    return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+def two_level_edge_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.community_edges(C.community_tables(_hierarchy(spark, sf_dir)).where("level <= 2"), _shared_parts(spark, sf_dir))
+
+
+def two_level_edge_weight_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``two_level_edge_weight``, down to the single suppliers."""
+    return C.community_edges(C.community_tables(_hierarchy(spark, sf_dir)), _shared_parts(spark, sf_dir))
+
+
+def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").groupBy(F.format_string("S%06d", "l_suppkey").alias("entity"), F.col("l_orderkey").alias("chunk_id")).agg(F.count("*").alias("cnt"))
 
 
 def community_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _table(spark, sf_dir, "lineitem").groupBy(F.format_string("S%06d", "l_suppkey").alias("entity"), F.col("l_orderkey").alias("chunk_id")).agg(F.count("*").alias("cnt"))
-    return C.rollup(C.community_tables(_hierarchy(spark, sf_dir)).where("level <= 1"), facts, "chunk_id")
+    return C.rollup(C.community_tables(_hierarchy(spark, sf_dir)).where("level <= 1"), _deliveries(spark, sf_dir), "chunk_id")
+
+
+def community_rollup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``community_rollup``, with the communities of all levels."""
+    return C.rollup(C.community_tables(_hierarchy(spark, sf_dir)), _deliveries(spark, sf_dir), "chunk_id")
 
 
 def _near(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
@@ -165,7 +176,7 @@ def leiden_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUNCTIONS = (
     triples_to_edges, entity_mentions, entity_weight, provenance_rollup, mention_edges_full, mention_edges_sparse, graph_contraction, cpm_quality,
     undirected_edges, khop_reach, graph_neighbours, connected_components, node_description, community_tables, vertex_communities, two_level_edge_weight,
-    community_rollup, leiden_hierarchy,
+    two_level_edge_weight_all, community_rollup, community_rollup_all, leiden_hierarchy,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -256,3 +267,6 @@ SQL = {
         FROM lineitem JOIN c ON vertex = printf('S%06d', l_suppkey) WHERE level <= 1 GROUP BY 1, 2
     """,
 }
+#: The same without the limits of level.
+SQL["two_level_edge_weight_all"] = SQL["two_level_edge_weight"].replace(" AND x.level <= 2", "")
+SQL["community_rollup_all"] = SQL["community_rollup"].replace(" WHERE level <= 1", "")

@@ -202,3 +202,42 @@ def test_graph_of_near_vectors(spark, monkeypatch):
         near = sorted((sum((x - y) ** 2 for x, y in zip(v, w)), j) for j, w in vectors.items() if j != i)[:3]
         want |= {(f"E{i:08d}", f"E{j:08d}") for _, j in near}
     assert {(e.src, e.dst) for e in Q._near(spark, "").collect()} == want
+
+
+def test_sparse_mentions_of_the_order_graph(spark, monkeypatch):
+    """The registered cover runs on customers, parts and orders, and equals a plain search from each entity."""
+    from skeinlake.plans import graph_queries as Q
+
+    r = random.Random(12)
+    orders = [(o, r.randrange(9), "F") for o in range(40)]
+    lines = [(o, r.randrange(14)) for o, _, _ in orders for _ in range(r.randrange(1, 4))]
+    tables = {"orders": spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string"), "lineitem": spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint")}
+    monkeypatch.setattr(Q, "_table", lambda _, __, name: tables[name])
+    customer = {o: f"Customer_{c}" for o, c, _ in orders}
+    near, wanted = {}, {}
+    for o, p in lines:
+        near.setdefault(customer[o], set()).add(f"Part_{p}")
+        near.setdefault(f"Part_{p}", set()).add(customer[o])
+        for e in (customer[o], f"Part_{p}"):
+            wanted.setdefault(e, {})
+            wanted[e][str(o)] = wanted[e].get(str(o), 0) + 1
+    want = set()
+    for e in sorted(wanted):
+        ball = {e}
+        for _ in range(3):
+            ball |= {w for v in ball for w in near.get(v, ())}
+        for o in sorted(set(wanted[e]) - ball):
+            near[e].add(o)
+            near.setdefault(o, set()).add(e)
+            want.add((e, o, wanted[e][o]))
+    assert {tuple(x) for x in Q.mention_edges_sparse(spark, "").collect()} == want
+
+
+def test_all_levels(spark):
+    from skeinlake.plans import graph_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    rollup = Q.community_rollup_all(spark, folder).selectExpr("left(community_key, 5) AS level").distinct().collect()
+    edges = Q.two_level_edge_weight_all(spark, folder).selectExpr("left(child_key, 5) AS level").distinct().collect()
+    assert sorted(x.level for x in rollup) == ["00000", "00001", "00002", "00003"]
+    assert sorted(x.level for x in edges) == ["00001", "00002", "00003"]
