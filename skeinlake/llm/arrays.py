@@ -3,8 +3,8 @@
 A slice of texts is one byte array with offsets. Tokens are maximal runs of bytes of a class:
 
 * ``SPACED``: anything but ASCII white space, as it stands; used where repeats must be literal.
-* ``WORDS``: ASCII letters, digits and all bytes above 127; used after lower-casing, where
-  punctuation and case must not matter.
+* ``WORDS``: letters, marks and digits of any script; used after ``normalised``, where punctuation and case must
+  not matter. Han, Hiragana and Katakana, which are written without spaces, are words of one character each.
 
 Hashes are polynomial in the bytes (or in the token hashes), taken modulo 2**64 with an odd base,
 so any window's hash comes from two prefix sums, and finished with a mixer.
@@ -12,16 +12,22 @@ so any window's hash comes from two prefix sums, and finished with a mixer.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 U64 = np.uint64
+SPACED, WORDS = "spaced", "words"
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
-SPACED = np.array([b not in _SPACE for b in range(256)])
-WORDS = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+_BYTE_CLASS = {
+    SPACED: np.array([b not in _SPACE for b in range(256)], np.uint8),
+    WORDS: np.array([b < 128 and chr(b).isalnum() for b in range(256)], np.uint8),
+}
 
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -29,7 +35,38 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
 
 #: Texts are handled in slices of about so many bytes, so that working arrays stay small.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = (1 << 19) - 64
+
+
+@cache
+def _code_classes() -> np.ndarray:
+    """Class of each code point: 1 in a word, 2 a word by itself, 0 between words."""
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((1, r"[\p{L}\p{M}\p{N}]+"), (2, r"[[\p{L}]&&[\p{Han}\p{Hiragana}\p{Katakana}]]+")):
+        for m in regex.finditer(pattern, every, regex.V1):
+            a, b = m.span()
+            out[a + 0x800 * (a >= 0xD800) : b + 0x800 * (b > 0xD800)] = kind
+    return out
+
+
+def byte_classes(data: np.ndarray, kind: str) -> np.ndarray:
+    """Class of each byte; those of one character have the same."""
+    out = _BYTE_CLASS[kind][data]
+    lead = np.flatnonzero(data >= 0xC0) if kind == WORDS else ()
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & (0xFF >> (size + 1))
+        place = np.minimum(lead[:, None] + np.arange(4), len(data) - 1)
+        for k in range(1, 4):
+            more = size > k
+            code[more] = code[more] << 6 | data[place[more, k]] & 0x3F
+        of = _code_classes()[np.minimum(code, 0x10FFFF)]
+        for k in range(4):
+            more = size > k
+            out[place[more, k]] = of[more]
+    return out
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +118,51 @@ def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "") if column.null_count else column
 
 
+def normalised(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """Compatibility composition (NFKC) and lower case."""
+    column = as_strings(column)
+    plain = pc.string_is_ascii(column)
+    if not pc.all(plain, min_count=0).as_py():
+        other = pc.invert(plain)
+        column = pc.replace_with_mask(column, other, pc.utf8_normalize(column.filter(other), form="NFKC"))
+    return pc.utf8_lower(column)
+
+
+@cache
+def _second_characters() -> frozenset[str]:
+    """Characters that may be composed with one before them."""
+    out = set()
+    for c in map(chr, range(0x110000)):
+        d = unicodedata.normalize("NFKD", c)
+        if unicodedata.combining(d[0]):
+            out.add(c)
+        whole = unicodedata.decomposition(c)
+        if whole and whole[0] != "<" and " " in whole:
+            out.add(chr(int(whole.split()[-1], 16)))
+    return frozenset(out | set(map(chr, range(0x1160, 0x1200))))
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends, in the text as it stands, of the words of its normalised form."""
+    compose = lambda x: pc.utf8_normalize(pa.array(x, pa.large_string()), form="NFKC")
+    plain = compose([text])
+    tok = Tokens(plain, WORDS, hashed=False)
+    if plain[0].as_py() == text:
+        return tok.start, tok.end
+    second = _second_characters()
+    parts: list[str] = []
+    for c in text:
+        if parts and c in second:
+            parts[-1] += c
+        else:
+            parts.append(c)
+    here = np.cumsum([0, *(len(x.encode()) for x in parts)])
+    there = np.cumsum([0, *pc.binary_length(compose(parts)).to_pylist()])
+    first = np.minimum(np.searchsorted(there, tok.start, "right") - 1, len(parts) - 1)
+    last = np.minimum(np.searchsorted(there, tok.end, "left"), len(parts))
+    return here[first], here[last]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a large_string array."""
     _, offsets, data = column.buffers()
@@ -106,21 +188,18 @@ class Tokens:
 
     __slots__ = ("data", "offsets", "start", "end", "first", "hash")
 
-    def __init__(self, column: pa.Array, kind: np.ndarray = SPACED, hashed: bool = True):
+    def __init__(self, column: pa.Array, kind: str = SPACED, hashed: bool = True):
         self.data, self.offsets = buffers(column)
         data, off = self.data, self.offsets
-        inside = kind[data]
-        edge = np.zeros(len(data) + 1, bool)
+        of = byte_classes(data, kind)
+        inside = of > 0
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = ~(inside[1:] & inside[:-1])
+        if kind == WORDS and (alone := of == 2).any():
+            edge[1:-1] |= (alone[1:] | alone[:-1]) & (data[1:] & 0xC0 != 0x80)
         edge[off] = True
-        before = np.empty(len(data), bool)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        before[edge[:-1]] = False
-        self.start = np.flatnonzero(inside & ~before)
-        before[:-1] = inside[1:]
-        before[-1:] = False
-        before[edge[1:]] = False
-        self.end = np.flatnonzero(inside & ~before) + 1
+        self.start = np.flatnonzero(inside & edge[:-1])
+        self.end = np.flatnonzero(inside & edge[1:]) + 1
         self.first = np.searchsorted(self.start, off)
         self.hash = span_hash(prefix(_BYTES[data]), self.start, self.end) if hashed else None
 

@@ -20,12 +20,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, tmp: jobs.Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, tmp: jobs.Scratch, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, keeper) for every node of the edges (a, b); the keeper is the smallest node of its component.
 
-    Self loops and repeated edges are allowed. Ends when a round leaves the edges as they are:
-    then each component is one star around its smallest node.
+    Self loops and repeated edges are allowed. ``known`` are components of a part of the edges. Ends when a round
+    leaves the edges as they are: then each component is one star around its smallest node.
     """
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("keeper").alias("a"), F.col("doc_id").alias("b")))
     edges = tmp.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = None
     while True:

@@ -1,30 +1,33 @@
 """Operator 5: benchmark passages found by a generalised suffix automaton.
 
-The automaton holds every substring of the normalised test items (lower case, runs of letters and
-digits). A document's tokens stream through it; the state after each token knows the longest
-suffix read so far that occurs in some item. Matches that end there are maximal. A match of
-``max_length`` tokens is cut; matches of at least ``piece`` tokens are cut too if together they cover
-``max_coverage`` of an item.
-
-Streaming starts only where a ``piece``-token gram of the items occurs, found by hash for a whole
-slice of texts at once; no match of ``piece`` tokens can lie elsewhere, so nothing is lost.
+The automaton holds every substring of the normalised test items (NFKC, lower case, words of letters, marks and
+digits; Han, Hiragana and Katakana one by one). A document's words stream through it; after each word the state
+knows the longest suffix read so far that occurs in some item. A match of ``max_length`` words is cut. An item is
+covered by the ``piece``-word stretches of it that the document has anywhere: they are the ends of suffix-link
+chains, so each item is credited, whatever longer match of another item it lies in. Where ``max_coverage`` of an item
+is covered, all its stretches are cut. Items don't influence each other.
+
+Streaming starts only where a ``piece``-word gram of the items occurs, found by hash for a whole
+slice of texts at once; no match of ``piece`` words can lie elsewhere, so nothing is lost.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm import arrays as A
 from skeinlake.llm import jobs, windows as W
 
-#: Tokens of test items in one automaton (about 300 bytes each in memory); more items make more automata,
-#: each streamed over the documents on its own.
-SHARD_TOKENS = 1_000_000
+#: Words of test items in one automaton (about 300 bytes each in a worker, 8 in its broadcast); more make more automata,
+#: streamed over the documents one after another. An item is in one of them, so results don't depend on it.
+SHARD_WORDS = 200_000
+#: Items credited at once while coverage is counted.
+_CREDITS = 1 << 21
 
 
 class SuffixAutomaton:
@@ -34,13 +37,11 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.ends: list[list[tuple[int, int]]] = [[]]
 
     def _state(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append([])
         return len(self.next) - 1
 
     def _split(self, p: int, q: int, token: int) -> int:
@@ -51,9 +52,11 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
-    def add(self, item: int, tokens: list[int]) -> None:
+    def add(self, tokens: list[int]) -> list[int]:
+        """Add a row; the states of its prefixes."""
         last = 0
-        for i, t in enumerate(tokens):
+        prefixes = []
+        for t in tokens:
             q = self.next[last].get(t)
             if q is not None:
                 last = q if self.length[q] == self.length[last] + 1 else self._split(last, q, t)
@@ -69,57 +72,61 @@ class SuffixAutomaton:
                     q = self.next[p][t]
                     self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, t)
                 last = new
-            self.ends[last].append((item, i + 1))
-
-    def finish(self, piece: int) -> None:
-        """Pass the end positions down to shorter suffixes, as far as ``piece`` tokens."""
-        for v in sorted(range(1, len(self.next)), key=lambda v: -self.length[v]):
-            p = self.link[v]
-            if p > 0 and self.length[p] >= piece:
-                self.ends[p].extend(self.ends[v])
-
-    def matches(self, tokens: list[int], piece: int) -> list[tuple[int, int, int]]:
-        """Maximal matches (start, end, state) of ``piece`` tokens or more."""
-        out = []
-        v = n = 0
-        for i, t in enumerate(tokens):
-            before, m = v, n
-            while v and t not in self.next[v]:
-                v = self.link[v]
-                n = self.length[v]
-            if t in self.next[v]:
-                v = self.next[v][t]
-                n += 1
-            else:
-                v = n = 0
-            if m >= piece and n != m + 1:
-                out.append((i - m, i, before))
-        if n >= piece:
-            out.append((len(tokens) - n, len(tokens), v))
-        return out
+            prefixes.append(last)
+        return prefixes
 
+    def anchors(self, piece: int) -> np.ndarray:
+        """For each state, the one on its chain of suffix links that has its suffix of ``piece`` tokens; -1 for shorter states."""
+        out = np.full(len(self.length), -1, np.int64)
+        for v in sorted(range(1, len(self.length)), key=self.length.__getitem__):
+            if self.length[v] >= piece:
+                out[v] = v if self.length[self.link[v]] < piece else out[self.link[v]]
+        return out
 
-def normalised(column: pa.Array) -> pa.Array:
-    return pc.utf8_lower(A.as_strings(column))
+    def stream(self, tokens: list[int]) -> tuple[list[int], list[int]]:
+        """After each token the state, and the length of the longest match that ends there."""
+        states, lengths = [], []
+        v = n = 0
+        edges, link, length = self.next, self.link, self.length
+        for t in tokens:
+            while v and t not in edges[v]:
+                v = link[v]
+                n = length[v]
+            to = edges[v].get(t)
+            if to is None:
+                v = n = 0
+            else:
+                v = to
+                n += 1
+            states.append(v)
+            lengths.append(n)
+        return states, lengths
 
 
 class Index:
-    """An automaton over item tokens with what a scan needs before it."""
+    """An automaton over item tokens with what a scan needs before and after it."""
 
-    def __init__(self, items: list[list[int]], piece: int):
+    def __init__(self, items: list[np.ndarray], piece: int):
         self.piece = piece
-        self.sizes = [len(x) for x in items]
-        self.words = np.sort(np.array(list({t for x in items for t in x}), np.uint64))
+        items = [x for x in items if len(x) >= piece]
+        self.sizes = np.array([len(x) for x in items], np.int64)
+        self.words = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
         self.automaton = SuffixAutomaton()
         grams: list[np.ndarray] = []
+        state, item, stop = [], [], []
         for i, x in enumerate(items):
-            if len(x) >= piece:
-                h = np.array(x, np.uint64)
-                self.automaton.add(i, np.searchsorted(self.words, h).tolist())
-                at = np.arange(len(x) - piece + 1)
-                grams.append(A.span_hash(A.prefix(h), at, at + piece))
-        self.automaton.finish(piece)
-        self.grams = np.sort(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+            prefixes = self.automaton.add(np.searchsorted(self.words, x).tolist())
+            state += prefixes[piece - 1 :]
+            item += [i] * (len(x) - piece + 1)
+            stop += range(piece, len(x) + 1)
+            at = np.arange(len(x) - piece + 1)
+            grams.append(A.span_hash(A.prefix(x), at, at + piece))
+        self.anchor = self.automaton.anchors(piece)
+        of = self.anchor[state] if state else np.zeros(0, np.int64)
+        order = np.argsort(of, kind="stable")
+        self.item, self.stop = np.array(item, np.int64)[order], np.array(stop, np.int64)[order]
+        self.first = np.searchsorted(of[order], np.arange(len(self.anchor) + 1))
+        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.grams >> A.U64(44)] = True
 
@@ -144,77 +151,105 @@ class Index:
         final = np.append(begin[1:], len(at)) - 1
         return row[begin], at[begin], at[final] + k
 
-    def spans(self, tok: A.Tokens, max_length: int, max_coverage: float) -> Iterator[tuple[int, int, int]]:
+    def spans(self, tok: A.Tokens, max_length: int, max_coverage: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, start, end) to cut, in tokens of the row."""
         row, start, end = self.regions(tok)
+        if not len(row):
+            return row, start, end
+        states: list[int] = []
+        lengths: list[int] = []
+        for a, b in zip(start.tolist(), end.tolist()):
+            v, n = self.automaton.stream(np.searchsorted(self.words, tok.hash[a:b]).tolist())
+            states += v
+            lengths += n
+        place = A.ragged(start, end - start)
+        of_row = np.repeat(row, end - start)
+        length = np.array(lengths, np.int64)
+        within = np.flatnonzero(length >= self.piece)
+        place, of_row, length, anchor = place[within], of_row[within], length[within], self.anchor[states][within]
+        pairs, which = np.unique(np.stack([of_row, anchor]), axis=1, return_inverse=True)
+        leaked = self.leaked(pairs[0], pairs[1], max_coverage)[which.ravel()]
+        reach = np.where(length >= max_length, length, np.where(leaked, self.piece, 0))
+        cut = np.flatnonzero(reach)
+        base = tok.first[of_row[cut]]
+        return of_row[cut], place[cut] + 1 - reach[cut] - base, place[cut] + 1 - base
+
+    def leaked(self, row: np.ndarray, anchor: np.ndarray, max_coverage: float) -> np.ndarray:
+        """Which of the distinct (row, anchor), sorted by row, belong to an item that the row covers."""
+        out = np.zeros(len(row), bool)
+        count = self.first[anchor + 1] - self.first[anchor]
         at, size = A.runs_of(row)
-        for first, count in zip(at.tolist(), size.tolist()):
-            r = int(row[first])
-            base = int(tok.first[r])
-            found: list[tuple[int, int, int]] = []
-            for j in range(first, first + count):
-                a, b = int(start[j]), int(end[j])
-                ids = np.searchsorted(self.words, tok.hash[a:b]).tolist()
-                found += [(a - base + x, a - base + y, v) for x, y, v in self.automaton.matches(ids, self.piece)]
-            covered: dict[int, set[int]] = {}
-            for x, y, v in found:
-                for item, stop in self.automaton.ends[v]:
-                    covered.setdefault(item, set()).update(range(stop - (y - x), stop))
-            leaked = {i for i, places in covered.items() if len(places) >= max_coverage * self.sizes[i]}
-            for x, y, v in found:
-                if y - x >= max_length or any(i in leaked for i, _ in self.automaton.ends[v]):
-                    yield r, x, y
-
-
-def item_tokens(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[int]]:
-    """Token hashes of the test items, in order of id. The items are the small, fixed side of the job."""
-    rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).distinct().orderBy("i", "t").toArrow()
-    out = []
-    for _, texts in A.slices(normalised(rows.column("t"))):
-        tok = A.Tokens(texts, A.WORDS)
-        out += [tok.hash[a:b].tolist() for a, b in zip(tok.first[:-1], tok.first[1:])]
-    return out
+        credits = np.cumsum(np.add.reduceat(count, at)) // _CREDITS
+        for block in np.unique(credits):
+            rows = np.flatnonzero(credits == block)
+            i = np.arange(at[rows[0]], at[rows[-1]] + size[rows[-1]])
+            of = np.repeat(i, count[i])
+            entry = A.ragged(self.first[anchor[i]], count[i])
+            item, stop = self.item[entry], self.stop[entry]
+            order = np.lexsort((stop, item, row[of]))
+            r, x, s = row[of][order], item[order], stop[order]
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
+            gain = np.full(len(r), self.piece)
+            gain[1:] = np.where(new[1:], self.piece, np.minimum(self.piece, s[1:] - s[:-1]))
+            begin = np.flatnonzero(new)
+            covered = np.add.reduceat(gain, begin)
+            full = covered >= max_coverage * self.sizes[x[begin]] - 1e-9
+            hit = np.empty(len(r), bool)
+            hit[order] = np.repeat(full, np.diff(np.append(begin, len(r))))
+            out[of[hit]] = True
+        return out
+
+
+def item_words(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """(words, n, shard key) of each distinct text of the items: its word hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in A.slices(A.normalised(batch.column(0))):
+                tok = A.Tokens(texts, A.WORDS)
+                rows = [tok.hash[a:b] for a, b in zip(tok.first[:-1], tok.first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([len(x) for x in rows], pa.int64())], names=["words", "n"])
+
+    texts = benchmark.select(F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
+    return texts.mapInArrow(run, "words binary, n bigint").where("n > 0").distinct()
+
+
+_built: dict[str, Index] = {}
+
+
+def _index(name: str, items: list[np.ndarray], piece: int) -> Index:
+    """The index of a broadcast, built once a worker; the one before it is let go."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(items, piece)
+    return _built[name]
 
 
 def contaminated_spans(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    max_length: int,
-    max_coverage: float,
-    piece: int,
-    id_col: str,
-    text_col: str,
-    item_col: str,
-    item_text_col: str,
-) -> DataFrame:
-    """(doc_id, start, end): token spans to cut."""
-    spark = docs.sparkSession
-    shards: list[list[list[int]]] = [[]]
-    held = 0
-    for x in item_tokens(benchmark, item_col, item_text_col):
-        if held and held + len(x) > SHARD_TOKENS:
-            shards.append([])
-            held = 0
-        shards[-1].append(x)
-        held += len(x)
+    docs: DataFrame, benchmark: DataFrame, max_length: int, max_coverage: float, piece: int, id_col: str, text_col: str, item_text_col: str, tmp: jobs.Scratch
+) -> list[DataFrame]:
+    """(doc_id, start, end) to cut, in words: one table for each shard of the items."""
+    words = tmp.save(item_words(benchmark, item_text_col))
+    shards = -(-(words.where(F.col("n") >= piece).agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS)
     texts = W.texts_of(docs, id_col, text_col)
-    out = None
-    for items in shards:
-        index = spark.sparkContext.broadcast(Index(items, piece))
+    out = []
+    for shard in range(shards):
+        mine = words.where((F.col("n") >= piece) & (F.pmod(F.xxhash64("words"), F.lit(shards)) == shard)).select("words").orderBy("words").toArrow()
+        items = [np.frombuffer(x, np.uint64) for x in mine.column(0).to_pylist()]
+        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                index = _index(name, shared.value, piece)
                 doc = batch.column(0).to_numpy(zero_copy_only=False)
-                found = []
-                for at, part in A.slices(normalised(batch.column(1))):
-                    tok = A.Tokens(part, A.WORDS)
-                    found += [(at + r, x, y) for r, x, y in index.value.spans(tok, max_length, max_coverage)]
-                if found:
-                    row, start, end = (np.array(x, np.int64) for x in zip(*found))
-                    yield W.span_batch(*A.merge_spans(doc[row], start, end))
-
-        spans = texts.mapInArrow(scan, W.SPANS)
-        out = spans if out is None else out.unionByName(spans)
+                for at, part in A.slices(A.normalised(batch.column(1))):
+                    row, start, end = index.spans(A.Tokens(part, A.WORDS), max_length, max_coverage)
+                    if len(row):
+                        yield W.span_batch(*A.merge_spans(doc[at + row], start, end))
+
+        out.append(tmp.save(texts.mapInArrow(scan, W.SPANS)))
+        shared.destroy()
     return out
 
 
@@ -226,21 +261,22 @@ def decontaminate(
     piece: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
-    item_col: str = "item_id",
     item_text_col: str = "text",
     removed_col: str = "removed_tokens",
 ) -> DataFrame:
     """Documents without passages of test items.
 
-    Returns the input's columns with the text cut, and ``removed_tokens``. Items of fewer than ``piece`` tokens
+    Returns the input's columns with the text cut, and ``removed_tokens``, in words. Items of fewer than ``piece`` words
     can't be told from ordinary phrases and match nothing; null items likewise. Repeated items
     count once. Null ids and null or empty texts are returned as they are with 0. A document of which nothing is left
     is dropped. Rows that repeat a doc_id share their cuts. Empty tables of documents or items are
-    allowed; an input column named ``removed_tokens`` is replaced, other extra columns are kept.
+    allowed; an input column named ``removed_tokens`` is replaced, other extra columns are kept. Where normalisation
+    makes several words of one character, cuts end at whole characters.
     """
     with jobs.Scratch(docs.sparkSession) as tmp:
-        spans = contaminated_spans(
-            docs, benchmark, max_length, max_coverage, piece, id_col, text_col, item_col, item_text_col
-        )
-        spans = tmp.keep(W.by_document(spans, jobs.parts_for(docs)))
+        found = contaminated_spans(docs, benchmark, max_length, max_coverage, piece, id_col, text_col, item_text_col, tmp)
+        spans = docs.sparkSession.createDataFrame([], W.SPANS)
+        for more in found:
+            spans = spans.unionByName(more)
+        spans = tmp.keep(W.by_document(spans, jobs.tasks_for(docs, jobs.parts_for(docs))))
     return W.remove_spans(docs, spans, id_col, text_col, removed_col, A.WORDS)

@@ -103,8 +103,8 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, langs: list[str]
         if held:
             yield flush(held)
 
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rec = jobs.records_of(jobs.gathered(batches).get(0, []), GRAM)
+    def receive(got: jobs.Payloads) -> Iterator[pa.RecordBatch]:
+        rec = jobs.records_of(got.get(0, []), GRAM)
         if len(rec):
             rec = summed(rec)
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+_ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}"
+#: A word: a run of letters, marks and digits; characters of scripts without spaces one by one. And what lies between words.
+_WORD = rf"(?:[{_ALONE}]|(?:[^\P{{L}}{_ALONE}]|\p{{M}}|\p{{N}})+)"
+_GAP = r"[^\p{L}\p{M}\p{N}]*"
 _WS = r"[ \t\n\r\x0b\x0c]"
 
 #: Cut every token of a 50-token window that also occurs earlier by (doc_id, position).
@@ -31,9 +35,9 @@ REPEATS = rf"""
 """
 
 #: All pairs of three-word shingle sets with Jaccard similarity 0.55, their connected components, and the least of each.
-NEAR = r"""
+NEAR = rf"""
     WITH RECURSIVE w AS (
-        SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+        SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
     ), s AS (
         SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 2), ' ') END AS s
         FROM w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS u(i) WHERE len(w) > 0
@@ -48,33 +52,25 @@ NEAR = r"""
     FROM documents LEFT JOIN c ON v = doc_id LEFT JOIN k ON k.keeper = c.keeper WHERE v IS NULL OR v = c.keeper
 """
 
-_WORD = r"(?:[A-Za-z0-9]|[^\x00-\x7F])"
-_GAP = r"[\x00-/:-@\[-`{-\x7F]*"
-
-#: Longest common runs of words of documents and test items, those of at least 5 words that lie in no other; cut are those of
-#: 13 words, and those of an item of which they cover 0.6 together.
+#: Common stretches of 5 words of documents and test items, joined to runs: cut are runs of 13 words, and all runs of an item
+#: of which they cover 0.6 together.
 LEAKS = rf"""
     WITH item AS (
-        SELECT DISTINCT item_id, regexp_extract_all(lower(text), '{_WORD}+') AS w FROM benchmark WHERE text IS NOT NULL
+        SELECT DISTINCT regexp_extract_all(lower(nfc_normalize(text)), '{_WORD}') AS w FROM benchmark WHERE text IS NOT NULL
     ), it AS (SELECT row_number() OVER () AS item, w FROM item),
     ig AS (SELECT item, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM it, unnest(generate_series(1, len(w) - 4)) AS u(i)),
     d AS (
-        SELECT doc_id, text, regexp_extract_all(lower(text), '{_WORD}+') AS w, regexp_extract_all(text, '{_WORD}+{_GAP}') AS p
+        SELECT doc_id, text, regexp_extract_all(lower(nfc_normalize(text)), '{_WORD}') AS w, regexp_extract_all(text, '{_WORD}{_GAP}') AS p
         FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
     ), dg AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM d, unnest(generate_series(1, len(w) - 4)) AS u(i)),
     hit AS (SELECT doc_id, item, dg.i - ig.i AS shift, dg.i AS i FROM dg JOIN ig USING (g)),
     isle AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, shift ORDER BY i) AS isle FROM hit),
     run AS (SELECT doc_id, item, shift, min(i) AS s, max(i) + 5 AS e FROM isle GROUP BY doc_id, item, shift, isle),
-    span AS (SELECT DISTINCT doc_id, s, e FROM run),
-    top AS (
-        SELECT doc_id, s, e FROM span
-        QUALIFY e > coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-    ), own AS (SELECT run.* FROM run JOIN top USING (doc_id, s, e)),
-    place AS (SELECT DISTINCT doc_id, item, unnest(generate_series(s - shift, e - shift - 1)) AS k FROM own),
+    place AS (SELECT DISTINCT doc_id, item, unnest(generate_series(s - shift, e - shift - 1)) AS k FROM run),
     cover AS (SELECT doc_id, item, count(*) AS n FROM place GROUP BY doc_id, item),
     leak AS (SELECT doc_id, item FROM cover JOIN it USING (item) WHERE n >= 0.6 * len(w)),
     cut AS (
-        SELECT doc_id, s, e FROM top WHERE e - s >= 13 UNION SELECT own.doc_id, s, e FROM own JOIN leak USING (doc_id, item)
+        SELECT doc_id, s, e FROM run WHERE e - s >= 13 UNION SELECT run.doc_id, s, e FROM run JOIN leak USING (doc_id, item)
     ), g AS (SELECT DISTINCT doc_id, unnest(generate_series(s, e - 1)) AS k FROM cut),
     n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
     pieces AS (SELECT d.doc_id, k, p[k] AS piece FROM d JOIN n USING (doc_id), unnest(generate_series(1, len(p))) AS u(k)),

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm import arrays as A
 from skeinlake.llm import jobs
-from skeinlake.llm.decontaminate import normalised
 
 SHARD_TEXTS = 8192
 
@@ -70,7 +69,7 @@ def _lengths(docs: DataFrame, id_col: str, text_col: str, source_col: str, clust
                 rest = batch.slice(at, len(part))
                 group = rest.column(2)
                 if cluster_col is None:
-                    tok = A.Tokens(normalised(part), A.WORDS)
+                    tok = A.Tokens(A.normalised(part), A.WORDS)
                     group = pa.array(A.span_hash(A.prefix(tok.hash), tok.first[:-1], tok.first[1:]).view(np.int64))
                 columns = [rest.column(0), rest.column(1), group, pa.array(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "cluster", "n"]).filter(pa.array(n > 0))

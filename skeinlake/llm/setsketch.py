@@ -10,8 +10,10 @@ band are candidates. Each candidate pair's Jaccard similarity is estimated from
 and equal registers by joint maximum likelihood, which discards the unlikely, and the rest are verified on
 the full shingle sets. Connected components of verified pairs are the groups.
 
-In a band's bucket every member meets the smallest one; whoever is not verified against it meets all
-others of the bucket. So the components are those of all pairs in buckets, without all pairs being tried.
+In a band's bucket every member meets the smallest one. Whoever is not verified against it elects more
+centers, four times as many in each round, until nobody is left. What is near a center in one round is tried against what
+was left over only where components differ and the distances to that center allow it (Jaccard distance is a metric). So
+the components are those of all pairs in buckets, without all pairs being tried, and no bucket is gathered in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from pyspark.sql import DataFrame, functions as F
 from skeinlake.llm import arrays as A
 from skeinlake.llm import jobs, windows as W
 from skeinlake.llm.components import connected_components
-from skeinlake.llm.decontaminate import normalised
 
 REGISTERS = 128
 BASE = 1.001
@@ -36,11 +37,11 @@ BANDS, ROWS = 32, 4
 SHINGLE = 3
 #: Standard deviations (at most 0.045 each) below the threshold at which an estimate discards a pair.
 SLACK = 0.15
+_SECOND = 0xA0761D6478BD642F
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-BAND = np.dtype([("hash", "<u8"), ("doc", "<i8")])
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -88,14 +89,14 @@ def shingle_sets(tok: A.Tokens) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, words, registers): hash of the word row, and the sketch. Texts without a word have none."""
+    """(doc_id, words, registers): 128-bit hash of the word row, and the sketch. Texts without a word have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, part in A.slices(normalised(batch.column(1))):
+            for at, part in A.slices(A.normalised(batch.column(1))):
                 tok = A.Tokens(part, A.WORDS)
-                words = A.span_hash(A.prefix(tok.hash), tok.first[:-1], tok.first[1:])
+                words = np.stack([A.span_hash(A.prefix(h), tok.first[:-1], tok.first[1:]) for h in (tok.hash, A.mix(tok.hash ^ A.U64(_SECOND)))], axis=1)
                 row, least = [], []
                 for r, s in shingle_sets(tok):
                     row.append(r)
@@ -104,118 +105,116 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     reg = registers_of(np.array(least))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(doc[at + np.array(row)], pa.int64()), pa.array(words[row].view(np.int64), pa.int64()),
+                            pa.array(doc[at + np.array(row)], pa.int64()), pa.array([x.tobytes() for x in words[row]], pa.binary()),
                             pa.array([x.tobytes() for x in reg], pa.binary()),
                         ],
                         names=["doc_id", "words", "registers"],
                     )
 
-    return W.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, words bigint, registers binary")
+    return W.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, words binary, registers binary")
 
 
-def _send_bands(parts: int):
+def bands(sketches: DataFrame) -> DataFrame:
+    """(bucket, doc_id) of every band of every sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             reg = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
             key = reg.reshape(len(reg), BANDS, ROWS).astype(np.uint64)
             h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(reg), 1))
             for k in range(ROWS):
                 h = A.mix(h * A.U64(0x9E3779B97F4A7C15) + key[:, :, k])
-            rec = np.empty(h.size, BAND)
-            rec["hash"], rec["doc"] = h.ravel(), np.repeat(doc, BANDS)
-            yield jobs.to_batch(list(jobs.routed((rec["hash"] % A.U64(parts)).astype(np.int64), rec, 0, parts)))
-
-    return run
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, center, doc_id) of buckets with two members or more; the center is the smallest."""
-    rec = jobs.records_of(jobs.gathered(batches).get(0, []), BAND)
-    if not len(rec):
-        return
-    order = np.lexsort((rec["doc"], rec["hash"]))
-    rec = rec[order]
-    at, size = A.runs_of(rec["hash"])
-    many = np.repeat(size > 1, size)
-    center = np.repeat(rec["doc"][at], size)[many]
-    rec = rec[many]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(rec["hash"].copy().view(np.int64)), pa.array(center), pa.array(rec["doc"])], names=["bucket", "center", "doc_id"]
-    )
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(doc, BANDS))], names=["bucket", "doc_id"])
+
+    return sketches.select("doc_id", "registers").mapInArrow(run, "bucket bigint, doc_id bigint")
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose joint estimate reaches the threshold less the slack."""
+def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, j): the joint estimate of each pair."""
     left = sketches.select(F.col("doc_id").alias("a"), F.col("registers").alias("u"))
     right = sketches.select(F.col("doc_id").alias("b"), F.col("registers").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                u, v = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array(joint_jaccard(u, v) >= threshold - SLACK))
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                u, v = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(joint_jaccard(u, v))], names=["a", "b", "j"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v").mapInArrow(run, "a bigint, b bigint")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v")
+    return both.mapInArrow(run, "a bigint, b bigint, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
-#: Members that are compared with one copy of a center.
-_FAN = 4096
+def _set_of(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str, tmp: jobs.Scratch) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have the Jaccard similarity. Each a's set is sent once for up to 4096 partners."""
-    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / _FAN).cast("int").alias("fan"))
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, tmp: jobs.Scratch) -> DataFrame:
+    """(a, b, j): the Jaccard similarity of the shingle sets of each pair. Each a's set is sent once for up to 4096
+    partners, and to the root of their number by 4096 where there are more; partners stream past it one by one."""
+    fan = pairs.groupBy("a").agg(F.ceil(F.sqrt(F.count("*") / 4096)).cast("int").alias("fan"))
     salted = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
-    members = salted.select(F.col("b").alias("doc_id"), "a", "salt")
-    centers = fan.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
-    wanted = tmp.save(members.unionByName(centers).groupBy("doc_id").agg(F.collect_list(F.struct("a", "salt")).alias("to")))
-    texts = jobs.join_small(W.texts_of(docs, id_col, text_col), wanted, "doc_id", "inner", 200)
-    parts = jobs.parts_for(docs)
+    members = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("member"))
+    centers = fan.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("member"))
+    wanted = tmp.save(members.unionByName(centers).groupBy("doc_id").agg(F.collect_list(F.struct("a", "salt", "member")).alias("to")))
+    texts = jobs.join_small(W.texts_of(docs, id_col, text_col), wanted, "doc_id", "inner", 32 + 40 * F.size("to")).select("doc_id", "text", "to")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "salt", "member", "b", "shingles"]
         for batch in batches:
-            doc = batch.column("doc_id").to_pylist()
-            to = batch.column("to").to_pylist()
-            for at, part in A.slices(normalised(batch.column("text"))):
-                rows = []
+            doc = batch.column(0).to_pylist()
+            to = batch.column(2).to_pylist()
+            for at, part in A.slices(A.normalised(batch.column(1))):
+                rows, held = [], 0
                 for r, s in shingle_sets(A.Tokens(part, A.WORDS)):
-                    s = np.sort((s >> A.U64(16)).astype(np.uint64))
-                    s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+                    s = np.unique(s >> A.U64(16))
                     raw = s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
                     for x in to[at + r]:
-                        head = np.array([x["a"], x["salt"], doc[at + r], len(s)], np.int64)
-                        key = A.mix(np.array([x["a"]], np.int64).view(np.uint64) + A.U64(x["salt"]) * A.U64(0x9E3779B97F4A7C15))
-                        rows.append((int(key[0] % A.U64(parts)), 0, head.tobytes() + raw))
+                        rows.append((x["a"], x["salt"], x["member"], doc[at + r], raw))
+                        held += len(raw)
+                        if held > 1 << 23:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                            rows, held = [], 0
                 if rows:
-                    yield jobs.to_batch(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[int, int], dict[int, bytes]] = {}
-        for x in jobs.gathered(batches).get(0, []):
-            a, salt, doc, n = np.frombuffer(x, np.int64, 4).tolist()
-            groups.setdefault((a, salt), {})[doc] = x[32:]
-
-        def set_of(raw: bytes) -> np.ndarray:
-            wide = np.zeros((len(raw) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            return wide.view("<u8").ravel()
-
-        left, right = [], []
-        for (a, _), members in groups.items():
-            if a not in members:
-                continue
-            center = set_of(members.pop(a))
-            for b, raw in members.items():
-                other = set_of(raw)
-                at = np.minimum(np.searchsorted(center, other), len(center) - 1)
-                both = int(np.count_nonzero(center[at] == other))
-                if both >= threshold * (len(center) + len(other) - both):
+        now, center = None, []
+        for batch in batches:
+            left, right, alike = [], [], []
+            for a, salt, member, b, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (a, salt) != now:
+                    now, center = (a, salt), []
+                other = _set_of(raw)
+                if not member:
+                    center.append(other)
+                    continue
+                for c in center:
+                    at = np.minimum(np.searchsorted(c, other), len(c) - 1)
+                    both = int(np.count_nonzero(c[at] == other))
                     left.append(a)
                     right.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                    alike.append(both / (len(c) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(alike, pa.float64())], names=["a", "b", "j"])
 
-    return tmp.save(jobs.exchange(texts, send, parts, receive, "a bigint, b bigint"))
+    sent = texts.mapInArrow(send, "a bigint, salt int, member int, b bigint, shingles binary")
+    sorted_ = sent.repartition(jobs.tasks_for(docs, jobs.parts_for(docs)), "a", "salt").sortWithinPartitions("a", "salt", "member")
+    return tmp.save(sorted_.mapInArrow(receive, "a bigint, b bigint, j double").groupBy("a", "b").agg(F.max("j").alias("j")))
+
+
+def _measured(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str, tmp: jobs.Scratch) -> DataFrame:
+    """(a, b, j, sure): true similarity where the estimate is near the threshold or above it, else the estimate."""
+    guess = tmp.save(_estimated(pairs, sketches))
+    likely = guess.where(F.col("j") >= threshold - SLACK).select("a", "b")
+    true = _verified(likely, docs, id_col, text_col, tmp).withColumn("sure", F.col("j") >= threshold)
+    return tmp.save(true.unionByName(guess.where(F.col("j") < threshold - SLACK).withColumn("sure", F.lit(False))))
 
 
 def near_duplicates(
@@ -229,23 +228,51 @@ def near_duplicates(
         )
     )
     leaders = own.where("n > 1").select("words", F.col("doc_id").alias("a"))
-    same = jobs.join_small(sketches.select("words", F.col("doc_id").alias("b")), leaders, "words", "inner").where("a <> b").select("a", "b")
-    parts = jobs.parts_for(docs)
+    links = jobs.join_small(sketches.select("words", F.col("doc_id").alias("b")), leaders, "words", "inner").where("a <> b").select("a", "b")
     reps = own.select("doc_id", "registers")
-    buckets = tmp.save(
-        jobs.exchange(reps, _send_bands(parts), parts, _buckets, "bucket bigint, center bigint, doc_id bigint")
-    )
-    star = buckets.where("center <> doc_id").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    likely = tmp.save(_likely(star, reps, threshold))
-    sure = _verified(likely, docs, threshold, id_col, text_col, tmp)
-    met = sure.select(F.col("a").alias("center"), F.col("b").alias("doc_id"))
-    alone = buckets.where("center <> doc_id").join(met, ["center", "doc_id"], "left_anti").select("bucket", F.col("doc_id").alias("x"))
-    others = buckets.where("center <> doc_id").select("bucket", F.col("doc_id").alias("y"))
-    rest = (
-        alone.join(others, "bucket").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    )
-    more = _verified(tmp.save(_likely(rest, reps, threshold)), docs, threshold, id_col, text_col, tmp)
-    return connected_components(sure.unionByName(more).unionByName(same), tmp)
+    left, met, centers = bands(reps), [], 1
+    while True:
+        groups = left.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+        groups = tmp.save(groups)
+        is_center = F.col("doc_id") == F.col("first")
+        if centers > 1:
+            is_center |= F.pmod(F.xxhash64("doc_id", F.lit(centers)), F.ceil(F.col("n") / centers)) == 0
+        members = tmp.save(jobs.join_small(left, groups, "bucket", "inner").select("bucket", "doc_id", is_center.alias("center")).distinct())
+        if members.isEmpty():
+            break
+        heads = members.where("center").select("bucket", F.col("doc_id").alias("a"))
+        pairs = tmp.save(
+            jobs.join_small(members, heads, "bucket", "inner")
+            .where("doc_id <> a AND (NOT center OR doc_id > a)")
+            .select("bucket", "a", F.col("doc_id").alias("b"), "center")
+        )
+        measured = _measured(pairs.select("a", "b").distinct(), reps, docs, threshold, id_col, text_col, tmp)
+        links = links.unionByName(measured.where("sure").select("a", "b"))
+        round_ = tmp.save(pairs.join(measured, ["a", "b"]))
+        left = tmp.save(round_.where("NOT center").groupBy("bucket", F.col("b").alias("doc_id")).agg(F.max("sure").alias("sure")).where("NOT sure").select("bucket", "doc_id"))
+        met.append(round_)
+        centers *= 4
+    groups = connected_components(links, tmp)
+    return connected_components(links.unionByName(_missed(met, groups, reps, docs, threshold, id_col, text_col, tmp)), tmp, groups)
+
+
+def _missed(
+    met: list[DataFrame], groups: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str, tmp: jobs.Scratch
+) -> DataFrame:
+    """Links between those near a center and others that met it in the same bucket, where components differ."""
+    links = "a bigint, b bigint"
+    pairs = docs.sparkSession.createDataFrame([], links)
+    keeper = lambda c: groups.select(F.col("doc_id").alias(c), F.col("keeper").alias(f"keeper_{c}"))
+    apart = ~F.coalesce("keeper_a", "a").eqNullSafe(F.coalesce("keeper_b", "b"))
+    for round_ in met:
+        near = round_.where("sure").select("bucket", "a", F.col("b").alias("x"), F.col("j").alias("near"))
+        far = round_.where("NOT sure").join(keeper("a"), "a", "left").join(keeper("b"), "b", "left").where(apart).select("bucket", "a", "b", "j")
+        both = near.join(far, ["bucket", "a"]).where(F.col("near") <= F.col("j") + F.lit(1 - threshold + SLACK))
+        pairs = pairs.unionByName(both.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")))
+    pairs = tmp.save(pairs.distinct())
+    if pairs.isEmpty():
+        return pairs
+    return _measured(pairs, reps, docs, threshold, id_col, text_col, tmp).where("sure").select("a", "b")
 
 
 def dedup_near(

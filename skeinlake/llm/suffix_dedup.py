@@ -1,7 +1,7 @@
 """Operator 3: repeated passages by longest-previous-factor arrays.
 
 Suffixes are partitioned by the least 25-token gram of their first 50 tokens (``windows``), so
-suffixes that share 50 tokens or more meet in one partition. There they are sorted into a suffix
+suffixes that share 50 tokens or more meet in one bucket. There they are sorted into a suffix
 array by prefix doubling over window symbols, neighbours get their longest common prefix, and
 previous and next smaller text positions in suffix order give each suffix its longest previous
 factor: the longest prefix that also starts earlier, in order of (doc_id, position). Factors of 50
@@ -96,8 +96,8 @@ def previous_factors(symbol: np.ndarray, left: np.ndarray) -> np.ndarray:
     return out
 
 
-def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = jobs.gathered(batches)
+def receive(got: jobs.Payloads) -> Iterator[pa.RecordBatch]:
+    """Spans of later copies in one bucket."""
     doc, start, end = [], [], []
     runs = W.unpack(got.get(W.RUNS, []))
     if runs is not None:
@@ -130,8 +130,8 @@ def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end): token spans that are later copies."""
-    parts = jobs.parts_for(docs)
-    return jobs.exchange(W.texts_of(docs, id_col, text_col), W.send(parts), parts, receive, W.SPANS)
+    buckets = jobs.parts_for(docs)
+    return jobs.exchange(W.texts_of(docs, id_col, text_col), W.send(buckets), buckets, receive, W.SPANS)
 
 
 def dedup_suffixes(
@@ -143,9 +143,10 @@ def dedup_suffixes(
     (doc_id, position) stays, so it does not matter how the table is split. Tokens are split at ASCII
     white space and compared as they stand. Null ids and null, empty or shorter texts are returned as they are
     with 0. Documents that consist of copies alone are dropped. Rows that repeat a doc_id are one
-    document: they don't count as copies of each other if equal. An empty table gives an empty one; an
-    input column named ``removed_tokens`` is replaced, other extra columns are kept.
+    document: what is equal at the same place isn't a copy, and cuts, by token places, hold for all of them, also where
+    their texts differ. An empty table gives an empty one; an input column named ``removed_tokens`` is replaced, other extra columns are kept.
     """
     with jobs.Scratch(docs.sparkSession) as tmp:
-        spans = tmp.keep(W.by_document(repeated_spans(docs, id_col, text_col), jobs.parts_for(docs)))
+        tasks = jobs.tasks_for(docs, jobs.parts_for(docs))
+        spans = tmp.keep(W.by_document(repeated_spans(docs, id_col, text_col), tasks))
     return W.remove_spans(docs, spans, id_col, text_col, removed_col)

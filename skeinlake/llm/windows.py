@@ -1,10 +1,10 @@
 """Content-partitioned windows: the common ground of the two repeat removers.
 
-A text is a row of tokens (runs of non-space bytes). Each window of ``WINDOW`` tokens belongs to
+A text is a row of tokens (runs of non-space bytes). Each window of 50 tokens or more belongs to
 the least hash among its ``SEED``-token grams. Equal windows have equal least grams, so hashing that
-gram to a partition brings all copies of a window together, and neighbouring windows mostly share
-it: about 13 consecutive windows form a *run* that travels as one record with 5 bytes a window.
-Nothing is sampled: every window of every text is in exactly one run.
+gram to a bucket brings all copies of a window together, and neighbouring windows mostly share
+it: consecutive windows of one gram (about 13, at 50 tokens) form a *run* that travels as one record with 5
+bytes a window. Nothing is sampled: every window of every text is in exactly one run.
 """
 
 from __future__ import annotations
@@ -20,10 +20,9 @@ from skeinlake.llm import jobs
 
 WINDOW = 50
 SEED = 25
-SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("next", "<i4"), ("hash", "<u8")])
 _HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i4")])
-_FLUSH = 4_000_000
+_FLUSH = 600_000
 RUNS, COPIES = 0, 1
 
 
@@ -53,35 +52,40 @@ class Runs:
         return Runs(*(join(f) for f in ("gram", "doc", "start", "count", "multi", "hash", "win")))
 
 
-def slice_runs(texts: pa.Array, doc: np.ndarray) -> Runs | None:
-    """Runs of one slice of texts; None where no text has ``WINDOW`` tokens."""
+def slice_runs(texts: pa.Array, doc: np.ndarray, window: int = WINDOW, at: tuple | None = None, whole: bool = True) -> Runs | None:
+    """Runs of one slice of texts; None where there is none. ``at`` is (row, first, end) of the places where windows
+    may start, in order; without it all may. ``whole``: with the hashes of windows."""
     tok = A.Tokens(texts, A.SPACED)
     size = np.diff(tok.first)
-    windows = np.maximum(0, size - WINDOW + 1)
-    if not windows.any():
+    if at is None:
+        row, first, count = np.arange(len(size)), np.zeros(len(size), np.int64), np.maximum(0, size - window + 1)
+    else:
+        row, first = at[0], at[1]
+        count = np.maximum(0, np.minimum(at[2], size[row] - window + 1) - first)
+    if not count.any():
         return None
     sums = A.prefix(tok.hash)
-    n = len(tok.hash)
-    at = np.arange(n - SEED + 1)
-    grams = A.span_hash(sums, at, at + SEED)
-    least = A.sliding_min(grams, WINDOW - SEED + 1)
-    idx = A.ragged(tok.first[:-1], windows)
-    row = np.repeat(np.arange(len(size)), windows)
+    grams = A.span_hash(sums, np.arange(len(tok.hash) - SEED + 1), np.arange(SEED, len(tok.hash) + 1))
+    least = A.sliding_min(grams, window - SEED + 1)
+    idx = A.ragged(tok.first[row] + first, count)
+    row = np.repeat(row, count)
     value = least[idx]
     new = np.ones(len(idx), bool)
-    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1]) | (np.diff(idx) != 1)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(idx)))
     begin, final = idx[first], idx[first] + count - 1
-    wide = np.arange(WINDOW - SEED + 1)
-    left = grams[begin[:, None] + wide].argmin(axis=1) + begin
-    right = grams[final[:, None] + wide].argmin(axis=1) + final
-    win = A.span_hash(sums, idx, idx + WINDOW) >> A.U64(24)
+    wide = np.arange(window - SEED + 1)
+    multi = np.empty(len(first), bool)
+    for a in range(0, len(first), 1 << 14):
+        b = slice(a, a + (1 << 14))
+        left = grams[begin[b, None] + wide].argmin(axis=1) + begin[b]
+        multi[b] = left != grams[final[b, None] + wide].argmin(axis=1) + final[b]
     r = row[first]
-    runs = Runs(
-        value[first], doc[r], (begin - tok.first[r]).astype(np.int32), count.astype(np.int32), left != right, None, win
-    )
-    runs.hash = run_hash(runs)
+    win = A.span_hash(sums, idx, idx + window) >> A.U64(24) if whole else np.zeros(0, np.uint64)
+    runs = Runs(value[first], doc[r], (begin - tok.first[r]).astype(np.int32), count.astype(np.int32), multi, None, win)
+    if whole:
+        runs.hash = run_hash(runs)
     return runs
 
 
@@ -91,23 +95,26 @@ def run_hash(runs: Runs) -> np.ndarray:
     return A.span_hash(A.prefix(symbols(runs)), at, at + runs.count)
 
 
-def _pack(runs: Runs, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    part = ((runs.gram >> A.U64(20)) % A.U64(parts)).astype(np.int64)
-    runs = runs.take(np.argsort(part, kind="stable"))
-    part.sort()
-    edges = np.searchsorted(part, np.arange(parts + 1))
+def _pack(runs: Runs, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    bucket = bucket_of(runs.gram, buckets)
+    runs = runs.take(np.argsort(bucket, kind="stable"))
+    used, size = np.unique(bucket, return_counts=True)
+    end = np.cumsum(size)
     at = np.append(runs.at(), len(runs.win))
     head = np.empty(len(runs), _HEAD)
     head["gram"], head["doc"], head["start"] = runs.gram, runs.doc, runs.start
     head["count"] = np.where(runs.multi, -runs.count, runs.count)
     packed = runs.win.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    for p in np.flatnonzero(np.diff(edges)):
-        a, b = edges[p], edges[p + 1]
-        yield int(p), RUNS, np.int64(b - a).tobytes() + head[a:b].tobytes() + packed[at[a] : at[b]].tobytes()
+    for p, a, b in zip(used.tolist(), (end - size).tolist(), end.tolist()):
+        yield p, RUNS, np.int64(b - a).tobytes() + head[a:b].tobytes() + packed[at[a] : at[b]].tobytes()
+
+
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    return ((gram >> A.U64(20)) % A.U64(buckets)).astype(np.int64)
 
 
 def unpack(payloads: list[bytes]) -> Runs | None:
-    """Runs of a partition, sorted by document and start, the same place once."""
+    """Runs of a bucket, sorted by document and start, the same run of the same place once."""
     heads, wins = [], []
     for x in payloads:
         n = int(np.frombuffer(x, np.int64, 1)[0])
@@ -122,10 +129,16 @@ def unpack(payloads: list[bytes]) -> Runs | None:
     head = np.concatenate(heads)
     count = np.abs(head["count"])
     runs = Runs(head["gram"], head["doc"], head["start"], count, head["count"] < 0, None, np.concatenate(wins))
-    order = np.lexsort((runs.start, runs.doc))
-    doc, start = runs.doc[order], runs.start[order]
-    fresh = np.ones(len(order), bool)  # a repeated row of the table has the same places again
-    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+    order = np.lexsort((runs.gram, runs.start, runs.doc))
+    place = np.stack([runs.doc, runs.start, runs.gram.view(np.int64), runs.count])[:, order]
+    again = np.flatnonzero((place[:, 1:] == place[:, :-1]).all(axis=0))
+    fresh = np.ones(len(order), bool)
+    if len(again):  # a repeated row of the table has the same runs at the same places again
+        of = run_hash(runs)[order]
+        many = np.unique(np.concatenate([again, again + 1]))
+        order[many] = order[many][np.lexsort((of[many], *place[::-1, many]))]
+        of = run_hash(runs)[order]
+        fresh[again + 1] = of[again] != of[again + 1]
     return runs.take(order[fresh])
 
 
@@ -134,27 +147,27 @@ def symbols(runs: Runs) -> np.ndarray:
     return A.mix(np.repeat(runs.gram, runs.count) + runs.win * A.U64(0x9E3779B97F4A7C15))
 
 
-def send(parts: int):
-    """Map side: (doc_id, text) batches to packed runs. Of equal runs in a task the first goes out whole;
-    the others are copies for certain and go out as bare records, so that a hot passage costs little."""
+def send(buckets: int, window: int = WINDOW):
+    """Map side: (doc_id, text) batches, or (doc_id, text, spans of window starts), to packed runs. Of equal runs in
+    a task the first goes out whole; the others are copies for certain and go out as bare records, so that a hot
+    passage costs little."""
 
     def flush(buffer: list[Runs]) -> pa.RecordBatch:
         runs = Runs.concat(buffer)
+        buffer.clear()
         order = np.lexsort((runs.start, runs.doc, runs.hash))
         h = runs.hash[order]
         later = np.zeros(len(runs), bool)
-        same = h[1:] == h[:-1]
         place = (runs.doc[order], runs.start[order])
-        lead = np.flatnonzero(np.concatenate([[True], ~same]))
+        lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         lead = np.repeat(lead, np.diff(np.append(lead, len(h))))
         later[order] = (place[0] != place[0][lead]) | (place[1] != place[1][lead])
-        rows = list(_pack(runs.take(np.flatnonzero(~later)), parts))
+        rows = list(_pack(runs.take(np.flatnonzero(~later)), buckets))
         if later.any():
             copy = np.empty(int(later.sum()), RUN)
             copy["doc"], copy["start"] = runs.doc[later], runs.start[later]
             copy["next"], copy["hash"] = runs.start[later] + runs.count[later], runs.hash[later]
-            part = ((runs.gram[later] >> A.U64(20)) % A.U64(parts)).astype(np.int64)
-            rows += jobs.routed(part, copy, COPIES, parts)
+            rows += jobs.routed(bucket_of(runs.gram[later], buckets), copy, COPIES, buckets)
         return jobs.to_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,20 +175,30 @@ def send(parts: int):
         held = 0
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
+            spans = batch.column(2) if batch.num_columns > 2 else None
             for at, texts in A.slices(A.as_strings(batch.column(1))):
-                runs = slice_runs(texts, doc[at : at + len(texts)])
+                where = None if spans is None else flat_spans(spans.slice(at, len(texts)))
+                runs = slice_runs(texts, doc[at : at + len(texts)], window, where)
                 if runs is not None:
                     buffer.append(runs)
                     held += len(runs.win)
                 if held > _FLUSH:
                     yield flush(buffer)
-                    buffer, held = [], 0
+                    held = 0
         if buffer:
             yield flush(buffer)
 
     return run
 
 
+def flat_spans(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of a column of span lists."""
+    flat = lists.flatten()
+    count = np.diff(lists.offsets.to_numpy())
+    start, end = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    return np.repeat(np.arange(len(lists)), count), start, end
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) of rows that can take part: null ids and null texts stay out."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
@@ -193,32 +216,52 @@ def span_batch(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Record
 SPANS = "doc_id bigint, start int, end int"
 
 
-def by_document(spans: DataFrame, parts: int) -> DataFrame:
-    """One row a document: its spans in order, overlapping and touching ones merged."""
+BY_DOCUMENT = "doc_id bigint, __spans array<struct<start:int,end:int>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
-        if got:
-            doc, start, end = A.merge_spans(*(np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(3)))
-            at, _ = A.runs_of(doc)
-            pairs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), lists], names=["doc_id", "__spans"])
 
-    kept = spans.select("doc_id", "start", "end").repartition(parts, "doc_id")
-    return kept.mapInArrow(run, "doc_id bigint, __spans array<struct<start:int,end:int>>")
+def span_lists(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """One row a document from spans sorted by document."""
+    at, _ = A.runs_of(doc)
+    pairs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pairs)
+    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), lists], names=["doc_id", "__spans"])
+
 
+def by_document(spans: DataFrame, tasks: int) -> DataFrame:
+    """One row a document: its spans in order, overlapping and touching ones merged."""
 
-def _cut(text: str, start: np.ndarray, end: np.ndarray, spans: list[dict]) -> tuple[str, int]:
+    def merged(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            yield span_lists(*A.merge_spans(*(np.concatenate([g[i] for g in held]) for i in range(3))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for b in batches:
+            got = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+            if n + b.num_rows > 1_000_000 and held:  # rows are sorted: what comes before the last document is complete
+                every = [np.concatenate([g[i] for g in [*held, got]]) for i in range(3)]
+                cut = int(np.searchsorted(every[0], every[0][-1]))
+                yield from merged([[x[:cut] for x in every]] if cut else [])
+                held, n = [[x[cut:] for x in every]], len(every[0]) - cut
+            elif b.num_rows:
+                held.append(got)
+                n += b.num_rows
+        yield from merged(held)
+
+    kept = spans.select("doc_id", "start", "end").repartition(tasks, "doc_id").sortWithinPartitions("doc_id")
+    return kept.mapInArrow(run, BY_DOCUMENT)
+
+
+def _cut(raw: bytes, start: np.ndarray, end: np.ndarray, spans: list[dict]) -> tuple[str, int]:
     """Remove token spans with what follows up to the next token; the rest stays byte for byte."""
-    raw = text.encode()
     out, at, removed, reach = [], 0, 0, 0
     for s in spans:
         a, b = max(s["start"], reach), min(s["end"], len(start))
         if a >= b:
             continue
         out.append(raw[at : start[a]])
-        at = start[b] if b < len(start) else len(raw)
+        at = max(at, start[b] if b < len(start) else len(raw))
         removed += b - a
         reach = b
     out.append(raw[at:])
@@ -226,7 +269,7 @@ def _cut(text: str, start: np.ndarray, end: np.ndarray, spans: list[dict]) -> tu
 
 
 def remove_spans(
-    docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, removed_col: str, kind: np.ndarray = A.SPACED
+    docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, removed_col: str, kind: str = A.SPACED
 ) -> DataFrame:
     """Cut spans out of texts. Documents without spans never leave the JVM; a document of which nothing
     but white space is left is dropped. ``removed_col`` counts the tokens cut; a column of that name is replaced."""
@@ -245,9 +288,12 @@ def remove_spans(
             for at, part in A.slices(texts):
                 tok = A.Tokens(part, kind, hashed=False)
                 for i, text in enumerate(part.to_pylist()):
-                    a, b = tok.first[i], tok.first[i + 1]
-                    base = tok.offsets[i]
-                    t, n = _cut(text, tok.start[a:b] - base, tok.end[a:b] - base, spans_of[at + i])
+                    if kind == A.WORDS and not text.isascii():
+                        start, end = A.word_places(text)
+                    else:
+                        a, b = tok.first[i], tok.first[i + 1]
+                        start, end = tok.start[a:b] - tok.offsets[i], tok.end[a:b] - tok.offsets[i]
+                    t, n = _cut(text.encode(), start, end, spans_of[at + i])
                     new.append(t)
                     gone.append(n)
             left = pa.array([bool(t.strip()) for t in new], pa.bool_())

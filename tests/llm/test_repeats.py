@@ -1,5 +1,6 @@
 """Operators 3 and 10 against a dictionary of all 50-token windows."""
 
+import random
 import re
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from skeinlake.llm import arrays as A
-from skeinlake.llm import doubling_dedup, suffix_dedup
+from skeinlake.llm import doubling_dedup, jobs, suffix_dedup
 
 SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
@@ -63,10 +64,62 @@ def test_empty_table(docs, op):
     assert op(docs.limit(0)).count() == 0
 
 
+def longest(rows):
+    """The greatest of 50, 100, 200, ... tokens of which each text has a repeated window."""
+    out = {}
+    size = 50
+    rows = sorted({(i, tuple(tokens(t))) for i, t in rows if i is not None and t is not None})
+    while True:
+        seen = {}
+        for i, w in rows:
+            for j in range(len(w) - size + 1):
+                seen.setdefault(w[j : j + size], set()).add((i, j))
+        again = {i for places in seen.values() if len(places) > 1 for i, _ in places}
+        if not again:
+            return out
+        out |= dict.fromkeys(again, size)
+        size *= 2
+
+
 def test_longest_repeat(docs):
-    got = {r.doc_id: r.longest_repeat for r in doubling_dedup.dedup_doubling(docs).collect()}
-    assert got[3] is not None and 50 <= got[3] <= 91
-    assert got[0] is None
+    got = {r.doc_id: r.longest_repeat for r in doubling_dedup.dedup_doubling(docs).collect() if r.doc_id is not None}
+    want = longest([(r.doc_id, r.text) for r in docs.collect()])
+    assert {i: n for i, n in got.items() if n is not None} == {i: n for i, n in want.items() if i in got}
+    assert 3 in want and 30 in want and 0 not in want
+
+
+@pytest.mark.parametrize("per", [1, 40])
+def test_many_buckets_in_a_partition(spark, monkeypatch, per):
+    """Shared passages of all lengths up to 900 tokens; buckets that share partitions make no difference."""
+    monkeypatch.setattr(jobs, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(jobs, "PART_BYTES", 2000 * per)
+    r = random.Random(1)
+    made = [[f"t{r.randrange(10**6)}" for _ in range(n)] for n in (49, 50, 63, 99, 100, 101, 160, 399, 400, 900)]
+    rows = []
+    for i in range(60):
+        t = [f"u{r.randrange(10**6)}" for _ in range(r.randrange(0, 120))]
+        for _ in range(r.randrange(3)):
+            at = r.randrange(len(t) + 1)
+            t[at:at] = r.choice(made)
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = brute(rows)
+    for op in (suffix_dedup.dedup_suffixes, doubling_dedup.dedup_doubling):
+        got = {x.doc_id: tokens(x.text) for x in op(df).collect()}
+        assert all(got.get(i, []) == left[i] for i, t in rows if t)
+    got = {x.doc_id: x.longest_repeat for x in doubling_dedup.dedup_doubling(df).collect()}
+    want = longest(rows)
+    assert got == {i: want.get(i) for i in got} and max(want.values()) == 800
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """They are one document whichever comes first: its cuts hold for both."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, shared), (2, f"a {shared} b"), (2, "c d"), (2, f"a {shared} b")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string")
+        got = [sorted((r.doc_id, r.text) for r in op(df).collect()) for op in (suffix_dedup.dedup_suffixes, doubling_dedup.dedup_doubling)]
+        assert got == [[(1, shared), (2, "a b"), (2, "a b"), (2, "c ")]] * 2
 
 
 @settings(max_examples=60, deadline=None)
