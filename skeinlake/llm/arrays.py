@@ -40,10 +40,10 @@ SLICE_BYTES = (1 << 19) - 64
 
 @cache
 def _code_classes() -> np.ndarray:
-    """Class of each code point: 1 in a word, 2 a word by itself, 0 between words."""
+    """Class of each code point: 1 in a word, 2 a word by itself, 3 a mark, 0 between words."""
     out = np.zeros(0x110000, np.uint8)
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((1, r"[\p{L}\p{M}\p{N}]+"), (2, r"[[\p{L}]&&[\p{Han}\p{Hiragana}\p{Katakana}]]+")):
+    for kind, pattern in ((1, r"[\p{L}\p{N}]+"), (2, r"[[\p{L}]&&[\p{Han}\p{Hiragana}\p{Katakana}]]+"), (3, r"\p{M}+")):
         for m in regex.finditer(pattern, every, regex.V1):
             a, b = m.span()
             out[a + 0x800 * (a >= 0xD800) : b + 0x800 * (b > 0xD800)] = kind
@@ -51,7 +51,7 @@ def _code_classes() -> np.ndarray:
 
 
 def byte_classes(data: np.ndarray, kind: str) -> np.ndarray:
-    """Class of each byte; those of one character have the same."""
+    """Class of each byte; those of one character have the same. A mark is of its letter, with 4 for one after a letter of 2."""
     out = _BYTE_CLASS[kind][data]
     lead = np.flatnonzero(data >= 0xC0) if kind == WORDS else ()
     if len(lead):
@@ -66,6 +66,14 @@ def byte_classes(data: np.ndarray, kind: str) -> np.ndarray:
         for k in range(4):
             more = size > k
             out[place[more, k]] = of[more]
+        marks = np.flatnonzero(of == 3)
+        if len(marks):
+            at = lead[marks]
+            for first in np.split(marks, np.flatnonzero(at[1:] != at[:-1] + size[marks[:-1]]) + 1) if (of == 2).any() else ():
+                alone = lead[first[0]] > 0 and out[lead[first[0]] - 1] == 2
+                for k in range(4):
+                    out[place[first[size[first] > k], k]] = 4 if alone else 1
+            out[out == 3] = 1
     return out
 
 
@@ -118,46 +126,31 @@ def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "") if column.null_count else column
 
 
+def _decomposed(column: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(column, form="NFKD")
+
+
 def normalised(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """Compatibility composition (NFKC) and lower case."""
+    """Compatibility decomposition (NFKD), the same for all that NFKC makes equal, and lower case."""
     column = as_strings(column)
     plain = pc.string_is_ascii(column)
     if not pc.all(plain, min_count=0).as_py():
         other = pc.invert(plain)
-        column = pc.replace_with_mask(column, other, pc.utf8_normalize(column.filter(other), form="NFKC"))
+        column = pc.replace_with_mask(column, other, _decomposed(column.filter(other)))
     return pc.utf8_lower(column)
 
 
-@cache
-def _second_characters() -> frozenset[str]:
-    """Characters that may be composed with one before them."""
-    out = set()
-    for c in map(chr, range(0x110000)):
-        d = unicodedata.normalize("NFKD", c)
-        if unicodedata.combining(d[0]):
-            out.add(c)
-        whole = unicodedata.decomposition(c)
-        if whole and whole[0] != "<" and " " in whole:
-            out.add(chr(int(whole.split()[-1], 16)))
-    return frozenset(out | set(map(chr, range(0x1160, 0x1200))))
-
-
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends, in the text as it stands, of the words of its normalised form."""
-    compose = lambda x: pc.utf8_normalize(pa.array(x, pa.large_string()), form="NFKC")
-    plain = compose([text])
-    tok = Tokens(plain, WORDS, hashed=False)
-    if plain[0].as_py() == text:
-        return tok.start, tok.end
-    second = _second_characters()
+    tok = Tokens(_decomposed(pa.array([text], pa.large_string())), WORDS, hashed=False)
     parts: list[str] = []
     for c in text:
-        if parts and c in second:
+        if parts and not c.isascii() and unicodedata.combining(unicodedata.normalize("NFKD", c)[0]):
             parts[-1] += c
         else:
             parts.append(c)
     here = np.cumsum([0, *(len(x.encode()) for x in parts)])
-    there = np.cumsum([0, *pc.binary_length(compose(parts)).to_pylist()])
+    there = np.cumsum([0, *pc.binary_length(_decomposed(pa.array(parts, pa.large_string()))).to_pylist()])
     first = np.minimum(np.searchsorted(there, tok.start, "right") - 1, len(parts) - 1)
     last = np.minimum(np.searchsorted(there, tok.end, "left"), len(parts))
     return here[first], here[last]
@@ -195,8 +188,9 @@ class Tokens:
         inside = of > 0
         edge = np.ones(len(data) + 1, bool)
         edge[1:-1] = ~(inside[1:] & inside[:-1])
-        if kind == WORDS and (alone := of == 2).any():
-            edge[1:-1] |= (alone[1:] | alone[:-1]) & (data[1:] & 0xC0 != 0x80)
+        if kind == WORDS and (of == 2).any():
+            alone = (of == 2) | (of == 4)
+            edge[1:-1] |= (alone[1:] | alone[:-1]) & (data[1:] & 0xC0 != 0x80) & (of[1:] != 4)
         edge[off] = True
         self.start = np.flatnonzero(inside & edge[:-1])
         self.end = np.flatnonzero(inside & edge[1:]) + 1

@@ -1,6 +1,6 @@
 """Operator 5: benchmark passages found by a generalised suffix automaton.
 
-The automaton holds every substring of the normalised test items (NFKC, lower case, words of letters, marks and
+The automaton holds every substring of the normalised test items (NFKD, lower case, words of letters, marks and
 digits; Han, Hiragana and Katakana one by one). A document's words stream through it; after each word the state
 knows the longest suffix read so far that occurs in some item. A match of ``max_length`` words is cut. An item is
 covered by the ``piece``-word stretches of it that the document has anywhere: they are the ends of suffix-link

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 _ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}"
 #: A word: a run of letters, marks and digits; characters of scripts without spaces one by one. And what lies between words.
-_WORD = rf"(?:[{_ALONE}]|(?:[^\P{{L}}{_ALONE}]|\p{{M}}|\p{{N}})+)"
+_WORD = rf"(?:[{_ALONE}]\p{{M}}*|(?:[^\P{{L}}{_ALONE}]|\p{{M}}|\p{{N}})+)"
 _GAP = r"[^\p{L}\p{M}\p{N}]*"
 _WS = r"[ \t\n\r\x0b\x0c]"
 

@@ -11,7 +11,7 @@ and equal registers by joint maximum likelihood, which discards the unlikely, an
 the full shingle sets. Connected components of verified pairs are the groups.
 
 In a band's bucket every member meets the smallest one. Whoever is not verified against it elects more
-centers, four times as many in each round, until nobody is left. What is near a center in one round is tried against what
+centers, eight times as many in each round, until nobody is left. What is near a center in one round is tried against what
 was left over only where components differ and the distances to that center allow it (Jaccard distance is a metric). So
 the components are those of all pairs in buckets, without all pairs being tried, and no bucket is gathered in one task.
 """
@@ -214,7 +214,7 @@ def _measured(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, threshold:
     guess = tmp.save(_estimated(pairs, sketches))
     likely = guess.where(F.col("j") >= threshold - SLACK).select("a", "b")
     true = _verified(likely, docs, id_col, text_col, tmp).withColumn("sure", F.col("j") >= threshold)
-    return tmp.save(true.unionByName(guess.where(F.col("j") < threshold - SLACK).withColumn("sure", F.lit(False))))
+    return true.unionByName(guess.where(F.col("j") < threshold - SLACK).withColumn("sure", F.lit(False)))
 
 
 def near_duplicates(
@@ -249,9 +249,9 @@ def near_duplicates(
         measured = _measured(pairs.select("a", "b").distinct(), reps, docs, threshold, id_col, text_col, tmp)
         links = links.unionByName(measured.where("sure").select("a", "b"))
         round_ = tmp.save(pairs.join(measured, ["a", "b"]))
-        left = tmp.save(round_.where("NOT center").groupBy("bucket", F.col("b").alias("doc_id")).agg(F.max("sure").alias("sure")).where("NOT sure").select("bucket", "doc_id"))
+        left = round_.where("NOT center").groupBy("bucket", F.col("b").alias("doc_id")).agg(F.max("sure").alias("sure")).where("NOT sure").select("bucket", "doc_id")
         met.append(round_)
-        centers *= 4
+        centers *= 8
     groups = connected_components(links, tmp)
     return connected_components(links.unionByName(_missed(met, groups, reps, docs, threshold, id_col, text_col, tmp)), tmp, groups)
 
