@@ -89,7 +89,7 @@ def tasks_for(df: DataFrame, buckets: int) -> int:
     return min(buckets, max(least, -(-buckets * BUCKET_BYTES // PART_BYTES)))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: Column | int = 64) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: Column | int = 64) -> DataFrame:
     """Join a materialised side: broadcast if its measured bytes stay below ``BROADCAST_BYTES``, else a shuffled join."""
     width = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
     size = small.agg(F.sum(width.cast("bigint"))).first()[0] or 0

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from skeinlake.llm import arrays as A, quality as Q
+from skeinlake.llm import arrays as A, jobs, quality as Q
 
 
 def ordinary(r, n):
@@ -35,7 +35,7 @@ def test_filter(table):
     assert sum(i in kept for i in range(400)) >= 396 and ids.count(3) == 2
     assert not [i for i in kept if i is not None and 1000 <= i < 1300]
     assert {2000, 2001, 2002, 2003, 2004, None} <= kept
-    assert {2100 + i for i in range(5)} <= kept  # a rest too small to be judged
+    assert {2100 + i for i in range(5)} <= kept  # groups of one, judged by all
     assert Q.filter_quality(table.limit(0)).count() == 0
 
 
@@ -57,29 +57,63 @@ def test_statistics():
         assert np.allclose(row, plain_statistics(t) if t else 0)
 
 
-def brute_distances(x, subset, steps):
-    """The estimate in plain numpy for one group: median start, concentration steps, consistent scale."""
-    med, (lo, hi) = np.quantile(x, 0.5, axis=0, method="inverted_cdf"), np.quantile(x, [0.25, 0.75], axis=0, method="inverted_cdf")
-    mean, prec = med, np.diag(1 / (((hi - lo) / 1.349) ** 2 + Q.FLOOR**2))
-    d2 = lambda: np.einsum("ni,ij,nj->n", x - mean, prec, x - mean)
-    for _ in range(steps):
-        d = d2()
-        part = x[d <= np.quantile(d, subset, method="inverted_cdf")]
-        mean = part.mean(axis=0)
-        prec = np.linalg.inv(np.cov(part.T, bias=True) + np.diag(Q.FLOOR**2))
-    d = d2()
-    return d / max(1.0, np.quantile(d, 0.5, method="inverted_cdf") / Q.CHI2_MEDIAN)
-
-
-def test_distances_like_numpy(spark, table):
-    from skeinlake.llm import jobs
-
-    one = table.where("lang = 'en' AND source = 's0' AND doc_id IS NOT NULL AND text <> ''").dropDuplicates(["doc_id"])
+def concentrate(x, pick, subset):
+    """Plain concentration steps from a subset: the log determinant, mean and precision they end with."""
+    last = np.inf
+    while True:
+        mean, cov = x[pick].mean(axis=0), np.cov(x[pick].T, bias=True) + np.diag(Q.FLOOR**2)
+        det = np.linalg.slogdet(cov)[1]
+        if len(pick) > 8:
+            if det >= last - 1e-3:
+                return last, mean, np.linalg.inv(cov)
+            last = det
+        d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+        pick = np.argsort(d)[: int(np.ceil(subset * len(x)))]
+
+
+def test_least_determinant(spark):
+    """As low as the best of many random starts, also where a third of a group is junk of one kind or two."""
+    r = np.random.default_rng(4)
+    tables = {}
+    for g, junk in (("clean", 0), ("third", 130), ("two", 100)):
+        mix = r.normal(size=(Q.D, Q.D)) * 0.3
+        x = r.normal(size=(400, Q.D)) @ mix
+        x[:junk] = r.normal(size=(junk, Q.D)) * 0.1 + 3
+        if g == "two":
+            x[100:140] = r.normal(size=(40, Q.D)) * 0.1 - 4
+        tables[g] = x
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in tables.items() for v in x], "g string, " + ", ".join(f"x{j} double" for j in range(Q.D)))
     with jobs.Scratch(spark) as tmp:
-        got = {r.doc_id: r.d2 for r in Q.distances(one, "doc_id", "text", ["lang", "source"], 0.6, 5, 50, tmp).collect()}
-    rows = [(r.doc_id, r.text) for r in one.collect()]
-    n, x = Q.statistics(A.as_strings(pa.array([t for _, t in rows])))
-    med = np.quantile(x, 0.5, axis=0, method="inverted_cdf")
-    x = med + np.sqrt(n / (n + Q.STEADY))[:, None] * (x - med)
-    want = brute_distances(x, 0.6, 5)
-    assert np.allclose([got[i] for i, _ in rows], want, rtol=0.05, atol=0.05)
+        start = []
+        for g, x in tables.items():
+            m = np.median(x, axis=0)
+            s = np.sqrt((1.4826 * np.median(np.abs(x - m), axis=0)) ** 2 + Q.FLOOR**2)
+            z = (x - m) / s
+            t, u = np.tanh(z), z / np.linalg.norm(z, axis=1, keepdims=True)
+            start.append((g, *map(float, m), *map(float, s), *(float((k[:, i] * k[:, j]).mean()) for k in (t, u) for i, j in Q.PAIRS)))
+        names = ["g", *(f"c{k}" for k in range(len(start[0]) - 1))]
+        params = spark.createDataFrame(start, names).mapInArrow(Q._starts, Q.PARAMS)
+        assert params.count() == 9
+        fit = {f.g: f for f in Q.concentrated(rows, params, 0.6, tmp).collect()}
+    for g, x in tables.items():
+        tries = [concentrate(x, r.choice(len(x), 8, replace=False), 0.6) for _ in range(60)]
+        best = min(tries, key=lambda f: f[0])
+        assert abs(fit[g].det - best[0]) < 0.35, (g, fit[g].det, best[0])
+        assert np.allclose(fit[g].mean, best[1], atol=0.15)
+    x = tables["third"] - np.array(fit["third"].mean)
+    d = np.einsum("ni,ij,nj->n", x, np.array(fit["third"].prec).reshape(Q.D, Q.D), x)
+    assert d[:130].min() > d[130:].max()
+
+
+def test_same_at_every_size(spark, table):
+    """A group's distances don't jump as it grows past any number of texts."""
+    r = random.Random(3)
+    base = [(i, ordinary(r, r.randrange(60, 200)), "en", "big") for i in range(200)]
+    small = [(1000 + i, ordinary(r, r.randrange(60, 200)), "en", "small") for i in range(60)]
+    seen = []
+    for n in (45, 52, 60):
+        df = spark.createDataFrame(base + small[:n], "doc_id bigint, text string, lang string, source string")
+        with jobs.Scratch(spark) as tmp:
+            seen.append({x.doc_id: x.d2 for x in Q.distances(df, "doc_id", "text", ["lang", "source"], 0.6, 50, tmp).collect()})
+    change = [abs(seen[1][1000 + i] - seen[0][1000 + i]) / (1 + seen[0][1000 + i]) for i in range(45)]
+    assert np.median(change) < 0.35 and max(seen[0].values()) < 45
