@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -72,8 +73,32 @@ def naive_fit(pieces, capacity):
 @given(st.lists(st.tuples(st.integers(1, 20), st.integers(0, 4), st.integers(0, 6)), max_size=60))
 def test_best_fit(pieces):
     pieces = sorted(pieces, reverse=True)
-    got = packing.best_fit([p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], 20)
-    assert got == naive_fit(pieces, 20)
+    got = packing.best_fit(*(np.array([p[k] for p in pieces], np.int64) for k in range(3)), 20)
+    assert got.tolist() == naive_fit(pieces, 20)
+
+
+def test_one_source_and_one_cluster():
+    """Where nothing fits together each search is over in a few steps, and blocks don't change what is packed."""
+    n = 20000
+    size = np.sort(np.random.default_rng(1).integers(1, 200, n))[::-1]
+    began = time.time()
+    assert packing.best_fit(size, np.zeros(n, np.int64), np.arange(n), 2048).tolist() == list(range(n))
+    assert packing.best_fit(size, np.arange(n), np.zeros(n, np.int64), 2048).tolist() == list(range(n))
+    assert time.time() - began < 30
+
+
+def test_blocks(spark):
+    """Blocks of any size pack every piece and keep the constraints; a doc_id that fills a third of the table is spread."""
+    rows = [(i % 200 if i % 3 else 7, f"w{i} " * (1 + i % 40), f"s{i % 9}") for i in range(600)] + [(7, "same text", "s1")] * 300
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for block in (20, 100000):
+        got = packing.pack(df, capacity=64, block=block).collect()
+        assert sum(r.tokens for r in got) == sum(len(t.split()) for _, t, _ in rows)
+        full = {}
+        for r in got:
+            full[r.bin] = full.get(r.bin, 0) + r.tokens
+        assert max(full.values()) <= 64
+        assert len({r.bin >> 32 for r in got if r.doc_id == 7}) >= (25 if block == 20 else 1)
 
 
 def test_pack(docs):
@@ -97,22 +122,63 @@ def test_pack(docs):
     assert packing.pack(docs, cluster_col="hash").count() == packing.pack(docs).count()
 
 
-def test_token_counts(spark, docs):
-    import tiktoken  # noqa: F401
-
+def brute_counts(rows):
+    """(source, lang) to documents, tokens and characters once white space is tidy and copies are gone."""
     encode = TC.encoding(TC.RANKS).encode_ordinary
+    first = {}
+    for r in rows:
+        if r.text is not None and r.doc_id is not None:
+            t = " ".join(r.text.split())
+            first[t] = min(first.get(t, r.doc_id), r.doc_id)
     want = {}
-    for r in docs.collect():
-        k = (r.source, r.lang)
-        d = want.setdefault(k, [0, 0, 0])
+    for r in rows:
+        t = " ".join((r.text or "").split())
+        if r.text is not None and r.doc_id is not None and first[t] < r.doc_id:
+            continue
+        d = want.setdefault((r.source, r.lang), [0, 0, 0])
         d[0] += 1
-        d[1] += len(encode(r.text or ""))
-        d[2] += len(r.text or "")
+        d[1] += len(encode(t))
+        d[2] += len(t)
+    return want
+
+
+def test_token_counts(spark, docs):
     got = {(r.source, r.lang): [r.docs, r.tokens, r.chars] for r in TC.count_tokens(docs).collect()}
-    assert got == want
+    assert got == brute_counts(docs.collect())
     assert TC.count_tokens(docs.limit(0)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["word", " ", "\n", "  \n", "7", "!", "\u3000"]), max_size=12))
+def test_long_white_space_splits_as_short(parts):
+    """Encoding long white space on its own gives what encoding the whole gives."""
+    text = "".join(p * 700 if p.isspace() else p for p in parts)
+    assert TC.token_count(TC.RANKS, text) == len(TC.encoding(TC.RANKS).encode_ordinary(text))
+
+
+def test_very_long_runs():
+    for text in (" " * 2_000_000, "a b" + " " * 2_000_000 + "c", "\n" * 1_000_000 + "x" * 100_000, "!" * 1_000_000):
+        assert TC.token_count(TC.RANKS, text) > 0
+
+
+def test_fold(spark, tmp_path, monkeypatch):
+    """Totals stay the same when commits become a base, batches in it stay committed, and old files go."""
+    monkeypatch.setattr(TC, "FOLD_EVERY", 3)
+    roll = TC.TokenRollup(spark, str(tmp_path / "fold"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), TC.COUNTS)
+    for k in range(7):
+        assert roll.commit_counts(f"b{k}", frame(("s", "en", 1 if k % 2 else -2, k, 1), ("t", None, 1, 1, 1)), "v1")
+        assert not roll.commit_counts(f"b{k}", frame(("s", "en", 1, 99, 99)), "v1")
+        assert not roll.commit_counts("b0", frame(("s", "en", 1, 99, 99)), "v1")
+    got = {(r.source, r.lang): (r.docs, r.tokens, r.chars) for r in roll.totals().collect()}
+    assert got == {("s", "en"): (-5, -2 * (0 + 2 + 4 + 6) + 1 + 3 + 5, -5), ("t", None): (7, 7, 7)}
+    assert sum(p.name.startswith("commit-") for p in (tmp_path / "fold").iterdir()) < 3
+    assert sum(p.name.startswith("base-") for p in (tmp_path / "fold").iterdir()) == 1
+    (tmp_path / "fold" / "commit-late").touch()  # its writer died
+    assert roll.commit_counts("late", frame(("s", "en", 1, 4, 4)), "v1")
+    assert roll.fold() and {(r.source, r.tokens) for r in roll.totals().collect()} == {("s", -11), ("t", 7)}
+
+
 def test_rollup_deltas(spark, tmp_path):
     r = random.Random(3)
     roll = TC.TokenRollup(spark, str(tmp_path / "roll"))
