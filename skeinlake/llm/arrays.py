@@ -167,15 +167,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of rows of about ``size`` bytes each, with the first row's index; a longer text is alone."""
-    _, off = buffers(column)
+    """Runs of rows of about ``size`` bytes each as string arrays, with the first row's index; a longer text is alone."""
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    off = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
     at, n = 0, len(column)
     while at < n:
         to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
-        yield at, column.slice(at, to - at)
+        yield at, as_strings(column.slice(at, to - at))
         at = to
 
 
+def normal_slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The same, normalised."""
+    for at, part in slices(column):
+        yield at, normalised(part)
+
+
 class Tokens:
     """Tokens of a slice: byte ``start`` and ``end``, ``hash``, and ``first[i]``, the index of row i's first token."""
 

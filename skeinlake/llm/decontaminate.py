@@ -206,7 +206,7 @@ def item_words(benchmark: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in A.slices(A.normalised(batch.column(0))):
+            for _, texts in A.normal_slices(batch.column(0)):
                 tok = A.Tokens(texts, A.WORDS)
                 rows = [tok.hash[a:b] for a, b in zip(tok.first[:-1], tok.first[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([len(x) for x in rows], pa.int64())], names=["words", "n"])
@@ -243,7 +243,7 @@ def contaminated_spans(
             for batch in batches:
                 index = _index(name, shared.value, piece)
                 doc = batch.column(0).to_numpy(zero_copy_only=False)
-                for at, part in A.slices(A.normalised(batch.column(1))):
+                for at, part in A.normal_slices(batch.column(1)):
                     row, start, end = index.spans(A.Tokens(part, A.WORDS), max_length, max_coverage)
                     if len(row):
                         yield W.span_batch(*A.merge_spans(doc[at + row], start, end))

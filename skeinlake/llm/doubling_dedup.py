@@ -66,7 +66,7 @@ def _send_seeds(buckets: int):
         n = 0
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, texts in A.slices(A.as_strings(batch.column(1))):
+            for at, texts in A.slices(batch.column(1)):
                 runs = W.slice_runs(texts, doc[at : at + len(texts)], whole=False)
                 if runs is not None:
                     rec = np.empty(len(runs), _GRAM)

@@ -291,7 +291,7 @@ def extract_pages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in A.slices(A.as_strings(batch.column(2))):
+            for at, part in A.slices(batch.column(2)):
                 trees = [Page(x) for x in part.to_pylist()]
                 m = shared.value
                 marginal = [np.ones(len(t.tag)) for t in trees] if m is None else m.marginals(trees)

@@ -81,7 +81,8 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, langs: list[str]
         n = 0
         for batch in batches:
             lang = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, part in A.slices(normalised(batch.column(1))):
+            for at, part in A.slices(batch.column(1)):
+                part = normalised(part)
                 code, first = characters(part)
                 key = keys_of(code)
                 place, size = real_places(first)
@@ -240,7 +241,8 @@ def scored(docs: DataFrame, model: KneserNey, id_col: str, text_col: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in A.slices(normalised(batch.column(1)), A.SLICE_BYTES // 4):
+            for at, part in A.slices(batch.column(1), A.SLICE_BYTES // 2):
+                part = normalised(part)
                 code, first = characters(part)
                 place, n = real_places(first)
                 logp = shared.value.score(keys_of(code)[place]).astype(np.float64)

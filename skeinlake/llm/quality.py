@@ -82,7 +82,7 @@ def _vectors(docs: DataFrame, id_col: str, text_col: str, groups: list[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in A.slices(A.as_strings(batch.column(1))):
+            for at, part in A.slices(batch.column(1)):
                 n, x = statistics(part)
                 rest = batch.slice(at, len(part))
                 columns = [rest.column(0), rest.column(2), rest.column(3), pa.array(n, pa.int64()), *(pa.array(x[:, j]) for j in range(D))]

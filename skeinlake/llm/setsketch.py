@@ -94,7 +94,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, part in A.slices(A.normalised(batch.column(1))):
+            for at, part in A.normal_slices(batch.column(1)):
                 tok = A.Tokens(part, A.WORDS)
                 words = np.stack([A.span_hash(A.prefix(h), tok.first[:-1], tok.first[1:]) for h in (tok.hash, A.mix(tok.hash ^ A.U64(_SECOND)))], axis=1)
                 row, least = [], []
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, tmp
         for batch in batches:
             doc = batch.column(0).to_pylist()
             to = batch.column(2).to_pylist()
-            for at, part in A.slices(A.normalised(batch.column(1))):
+            for at, part in A.normal_slices(batch.column(1)):
                 rows, held = [], 0
                 for r, s in shingle_sets(A.Tokens(part, A.WORDS)):
                     s = np.unique(s >> A.U64(16))

@@ -176,7 +176,7 @@ def send(buckets: int, window: int = WINDOW):
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             spans = batch.column(2) if batch.num_columns > 2 else None
-            for at, texts in A.slices(A.as_strings(batch.column(1))):
+            for at, texts in A.slices(batch.column(1)):
                 where = None if spans is None else flat_spans(spans.slice(at, len(texts)))
                 runs = slice_runs(texts, doc[at : at + len(texts)], window, where)
                 if runs is not None:
