@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm import arrays as A
 
-#: Labelled pages that the potentials are learned from; the bound on the training sample.
+#: Labelled pages that the potentials are learned from, and their greatest length: the bound on the training sample.
 TRAIN_PAGES = 400
+TRAIN_CHARS = 200_000
+#: Elements nested deeper are children of the one at this depth, as browsers have it.
+MAX_DEPTH = 512
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _CLASS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe"}
 _SILENT = _RAW | {"head"}
@@ -36,65 +38,97 @@ _BLOCK = {
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in _RAW}
 _SCOPE = {"ul", "ol", "dl", "table", "tr", "select", "body", "html", "article", "div", "section", "nav", "main", "aside", "td", "th"}
 
 
 class Page:
     """Nodes in document order: parent, tag, class words, own text (None for elements)."""
 
-    __slots__ = ("parent", "tag", "words", "text")
+    __slots__ = ("parent", "tag", "words", "text", "_parts", "_last")
 
     def __init__(self, source: str):
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["#root"]
         self.words: list[str] = [""]
         self.text: list[str | None] = [None]
+        self._parts: list[str] = []
+        self._last = 0
         stack = [0]
+        scopes: list[int] = []  # places in the stack of tags that implied ends don't cross
+        opened: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
         at, n = 0, len(source)
+
+        def close(k: int) -> None:
+            for place in range(len(stack) - 1, k - 1, -1):
+                opened[self.tag[stack[place]]].pop()
+            del stack[k:]
+            while scopes and scopes[-1] >= k:
+                scopes.pop()
+
         while at < n:
-            m = _TOKEN.match(source, at)
-            if m is None:  # an unclosed tag: the rest is one
-                break
-            at = m.end()
-            if m.group(4) is not None:
-                t = html.unescape(m.group(4))
-                if not t.isspace():
-                    if self.text[-1] is not None and self.parent[-1] == stack[-1]:
-                        self.text[-1] += t
-                    else:
-                        self._node(stack[-1], "#text", "", t)
+            if source[at] != "<":
+                end = source.find("<", at)
+                end = n if end < 0 else end
+                self._say(stack[-1], source[at:end])
+                at = end
                 continue
-            if m.group(2) is None:
+            m = _NAME.match(source, at + 1)
+            if m is None:
+                if source.startswith("<!--", at):
+                    end = source.find("-->", at + 4)
+                    at = n if end < 0 else end + 3
+                elif source.startswith(("<!", "<?"), at):
+                    end = source.find(">", at)
+                    at = n if end < 0 else end + 1
+                else:
+                    self._say(stack[-1], "<")
+                    at += 1
                 continue
+            end = m.end()
+            while (stop := _STOP.search(source, end)) and stop.group() != ">":
+                end = source.find(stop.group(), stop.end()) + 1
+                if not end:
+                    break
+            if stop is None or not end:  # an unfinished tag: the rest is one
+                break
+            attributes = source[m.end() : stop.start()]
+            at = stop.end()
             tag = m.group(2).lower()
             if m.group(1):
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
+                if opened[tag]:
+                    close(opened[tag][-1])
                 continue
             if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else n
+                end_tag = _RAW_END[tag].search(source, at)
+                at = end_tag.end() if end_tag else n
                 continue
-            self._close_implied(stack, tag)
-            attributes = m.group(3)
+            closes = _CLOSES.get(tag) or (("p",) if tag in _BLOCK else ())
+            k = max((opened[x][-1] for x in closes if opened[x]), default=0)
+            if k and (not scopes or k >= scopes[-1]):
+                close(k)
             words = " ".join(x for g in _CLASS.findall(attributes) for x in g if x).lower() if attributes else ""
             node = self._node(stack[-1], tag, words, None)
-            if tag not in _VOID and not attributes.endswith("/"):
+            if tag not in _VOID and not attributes.endswith("/") and len(stack) <= MAX_DEPTH:
+                opened[tag].append(len(stack))
+                if tag in _SCOPE:
+                    scopes.append(len(stack))
                 stack.append(node)
+        self._join()
 
-    def _close_implied(self, stack: list[int], tag: str) -> None:
-        closes = _CLOSES.get(tag) or ({"p"} if tag in _BLOCK else None)
-        if not closes:
-            return
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = self.tag[stack[k]]
-            if open_tag in closes:
-                del stack[k:]
-                return
-            if open_tag in _SCOPE:
-                return
+    def _say(self, parent: int, text: str) -> None:
+        text = html.unescape(text)
+        if not text.isspace():
+            if self.text[-1] is not None and self.parent[-1] == parent:
+                self._parts.append(text)
+            else:
+                self._join()
+                self._last = self._node(parent, "#text", "", "")
+                self._parts = [text]
+
+    def _join(self) -> None:
+        if self._parts:
+            self.text[self._last] = "".join(self._parts)
 
     def _node(self, parent: int, tag: str, words: str, text: str | None) -> int:
         self.parent.append(parent)
@@ -103,7 +137,7 @@ class Page:
         self.text.append(text)
         return len(self.tag) - 1
 
-    def features(self) -> list[list[str]]:
+    def looks(self) -> list[tuple]:
         """What is seen of each node."""
         n = len(self.tag)
         size, linked, in_link = [0] * n, [0] * n, [False] * n
@@ -116,20 +150,23 @@ class Page:
         for i in range(n - 1, 0, -1):
             size[self.parent[i]] += size[i]
             linked[self.parent[i]] += linked[i]
-        out = []
-        for i in range(n):
-            t = self.text[i]
+        out: list[tuple] = []
+        for i, (tag, t) in enumerate(zip(self.tag, self.text)):
             if t is None:
                 share = 0 if not size[i] else 1 + int(3.99 * linked[i] / size[i])
-                seen = [f"tag={self.tag[i]}", f"links={share}", f"size={size[i].bit_length()}"]
-                seen += [f"word={w}" for w in self.words[i].split()]
+                out.append((tag, share, size[i].bit_length(), self.words[i]))
             else:
-                stops = t.count(".") + t.count(",")
-                seen = [f"in={self.tag[self.parent[i]]}", f"length={len(t).bit_length()}", f"stops={stops.bit_length()}", f"link={in_link[i]}"]
-            out.append(seen)
+                out.append((tag, self.tag[self.parent[i]], len(t).bit_length(), (t.count(".") + t.count(",")).bit_length(), in_link[i]))
         return out
 
 
+def features_of(look: tuple) -> list[str]:
+    """The features of a node that looks so."""
+    if look[0] == "#text":
+        return [f"in={look[1]}", f"length={look[2]}", f"stops={look[3]}", f"link={look[4]}"]
+    return [f"tag={look[0]}", f"links={look[1]}", f"size={look[2]}", *(f"word={w}" for w in look[3].split())]
+
+
 def edge_class(tag: str) -> str:
     return tag if tag == "#text" or tag in _INLINE or tag in _BLOCK else "other"
 
@@ -148,8 +185,8 @@ class TreeModel:
 
     def add(self, page: Page, label: list[int]) -> None:
         self.root[label[0]] += 1
-        for i, seen in enumerate(page.features()):
-            for f in seen:
+        for i, look in enumerate(page.looks()):
+            for f in features_of(look):
                 self.seen[f][label[i]] += 1
                 self.total[f.split("=")[0]][label[i]] += 1
             if i:
@@ -183,20 +220,21 @@ class TreeModel:
         table = np.stack([*(self.pair[e] for e in self.pair), self.default])
         edge = np.empty(n, np.int64)
         zero = (0.0, 0.0)
-        at = 0
-        for p in pages:
+        known: dict[tuple, tuple[float, float, int]] = {}  # nodes that look the same have the same potentials
+        for p, at in zip(pages, base.tolist()):
             levels: list[int] = []
-            for tag, up, seen in zip(p.tag, p.parent, p.features()):
+            values: list[tuple[float, float, int]] = []
+            for tag, up, look in zip(p.tag, p.parent, p.looks()):
                 levels.append(levels[up] + 1 if up >= 0 else 0)
-                a = b = 0.0
-                for f in seen:
-                    x, y = self.unary.get(f, zero)
-                    a += x
-                    b += y
-                own[at, 0], own[at, 1] = a, b
-                edge[at] = code.get(edge_class(tag), len(classes) - 1)
-                at += 1
-            depth[at - len(levels) : at] = levels
+                value = known.get(look)
+                if value is None:
+                    seen = [self.unary.get(f, zero) for f in features_of(look)]
+                    value = known[look] = (sum(x for x, _ in seen), sum(y for _, y in seen), code.get(edge_class(tag), len(classes) - 1))
+                values.append(value)
+            depth[at : at + len(levels)] = levels
+            numbers = np.array(values)
+            own[at : at + len(levels)] = numbers[:, :2]
+            edge[at : at + len(levels)] = numbers[:, 2]
         return np.split(sum_product(parent, depth, own, table[edge], self.prior), base[1:-1])
 
 
@@ -204,7 +242,7 @@ def sum_product(parent: np.ndarray, depth: np.ndarray, own: np.ndarray, pair: np
     """Marginals of state 1. ``own[i]`` are log potentials, ``pair[i][s, t]`` those of parent state s and state t."""
     up = own.copy()
     message = np.zeros_like(own)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
     for nodes in reversed(levels[1:]):
         message[nodes] = np.logaddexp.reduce(pair[nodes] + up[nodes][:, None, :], axis=2)
         np.add.at(up, parent[nodes], message[nodes])
@@ -259,13 +297,25 @@ def extract(page: Page, marginal: np.ndarray) -> tuple[str, int, int]:
 def train(pages: DataFrame, documents: DataFrame, sample: int = TRAIN_PAGES) -> TreeModel | None:
     """A model from pages whose address ends in the number of the document they show; None without any.
 
-    At most ``sample`` of them, those of least hash of their address.
+    At most ``sample`` of them, those of least hash of their address, and of at most 200,000 characters. They are chosen by
+    address, and only those chosen are fetched. Ties of hash go by address; repeated pages are chosen as often as they
+    occur. Null addresses, pages, numbers and texts are left out; empty ones label nothing.
     """
-    number = F.regexp_extract(F.col("url"), r"/([0-9]{1,18})([?#].*)?$", 1)
-    labelled = pages.where(F.col("html").isNotNull()).select("html", "url", F.expr("try_cast(regexp_extract(url, '/([0-9]{1,18})([?#].*)?$', 1) AS bigint)").alias("doc_id"))
+    number = F.expr("try_cast(regexp_extract(url, '/([0-9]{1,18})([?#].*)?$', 1) AS bigint)").alias("doc_id")
+    order = F.xxhash64("url").alias("order")
+    address = pages.where(F.length("html") <= TRAIN_CHARS).select(order, "url", number).where(F.col("doc_id").isNotNull())
+    count = address.count()
+    if not count:
+        return None
+    bound = -(2**63) + min(2**64 - 1, 2**64 // count * 8 * sample)  # about eight times as many as wanted: most have a text, so enough stay
     known = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("truth")).where("truth IS NOT NULL")
-    chosen = labelled.where(F.col("doc_id").isNotNull() & (number != "")).orderBy(F.xxhash64("url"), "url").limit(2 * sample)
-    rows = known.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("url"), "url").limit(sample).select("html", "truth").collect()
+    chosen = address.where(F.col("order") <= F.lit(bound)).join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = chosen.orderBy("order", "url").select("url", "doc_id").limit(sample).collect()
+    if not chosen:
+        return None
+    few = F.broadcast(pages.sparkSession.createDataFrame(chosen, "url string, doc_id bigint").distinct())
+    fetched = pages.where(F.length("html") <= TRAIN_CHARS).select("url", "html").join(few, "url")
+    rows = known.join(F.broadcast(fetched), "doc_id").select(order, "url", "html", "truth").orderBy("order", "url", "html", "truth").limit(sample).collect()
     model = TreeModel()
     used = 0
     for r in rows:
@@ -284,7 +334,8 @@ def extract_pages(
 
     Null or blank pages give an empty text and zero nodes. Without a model all text outside scripts, styles and the head
     is content. Broken markup is read as far as it goes: unclosed tags are closed by their parents, an unfinished tag ends the
-    page. Repeated rows are extracted one by one; other columns don't matter; an empty table gives none.
+    page, elements nested deeper than 512 hang on the one at that depth. Time grows in proportion to a page's length.
+    Repeated rows are extracted one by one; other columns don't matter; an empty table gives none.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
@@ -70,3 +71,36 @@ def test_held_out_pages(spark):
     plain = H.extract_pages(df.where("page_id = 4"), None).collect()
     assert plain[0].text == "deep"
     assert H.train(pages.limit(0), documents) is None and H.train(pages, documents.limit(0)) is None
+
+
+def test_long_and_broken_pages():
+    """Ten megabytes of each kind are read in time that grows with their length alone."""
+    model = H.TreeModel()
+    r = random.Random(1)
+    for i in range(20):
+        h, truth = page(r, i)
+        p = H.Page(h)
+        model.add(p, H.label_page(p, truth))
+    model.finish()
+    kinds = {
+        "open": lambda n: "<a " * (n // 3), "quote": lambda n: "<a b='" + "x" * n, "wrong": lambda n: "<b>" * (n // 7) + "</i>" * (n // 7), "deep": lambda n: "<div>" * (n // 5),
+        "less": lambda n: "<" * n, "comment": lambda n: "<!-- " * (n // 5), "scope": lambda n: "<p><div>" + "<span>" * (n // 10) + "<hr>" * (n // 10), "text": lambda n: "word &amp; " * (n // 11),
+    }
+
+    def took(source):
+        began = time.process_time()
+        p = H.Page(source)
+        m = model.marginals([p])[0]
+        H.extract(p, m)
+        assert len(p.tag) == len(m) and not np.isnan(m).any()
+        return time.process_time() - began
+
+    for name, make in kinds.items():
+        small, large = took(make(500_000)), took(make(2_000_000))
+        assert large < 8 * small + 1, (name, small, large)
+
+
+def test_depth_keeps_all_text(spark):
+    source = "".join(f"<div>t{i}" for i in range(2000))
+    p = H.Page(source)
+    assert H.extract(p, np.ones(len(p.tag)))[0].split() == [f"t{i}" for i in range(2000)]
