@@ -148,13 +148,14 @@ def gather(children: list[dict], grand: dict[str, list[dict]], budget: int, seed
 _NODE = "community_key string, label string, content string, weight double, is_leaf boolean, is_copy boolean"
 
 
-def summarize_levels(nodes: DataFrame, edges: DataFrame, levels: list[int], summarizer: providers.Summarizer, budget: int = PROMPT_CHARS, seed: int = 0) -> DataFrame:
+def summarize_levels(nodes: DataFrame, edges: DataFrame, levels: list[int], summarizer: providers.Summarizer, budget: int = PROMPT_CHARS, seed: int = 0, known: DataFrame | None = None) -> DataFrame:
     """All communities with label, content and weight, from the leaves up; ``nodes`` are the leaves.
 
-    A community with one child is that child again, which is marked as a copy. Others are summarised from their children; where
-    no answer is usable, the children's text, cut to 400 characters, stands in. One job a level, at most seven levels; each is
-    written before the next.
+    A community with one child is that child again, which is marked as a copy. Others are summarised from their children,
+    unless they are among ``known`` (community_key, label, content, weight); where no answer is usable, the children's text
+    stands in. One job a level, at most seven levels; each is written before the next.
     """
+    known = cut(known) if known is not None else None
     done = cut(nodes)
     for level in sorted(levels, reverse=True):
         prefix = f"{level:05d}/"
@@ -166,6 +167,14 @@ def summarize_levels(nodes: DataFrame, edges: DataFrame, levels: list[int], summ
         copied = child.where("n = 1").select(F.col("child_key").alias("community_key"), F.lit(True).alias("copied"))
         body = F.struct(F.col("child_key").alias("key"), T.content_block(F.col("label"), F.col("content")).alias("text"), "weight", "is_leaf")
         several = child.where("n > 1").select("parent_key", "child_key", body.alias("c"))
+        again = None
+        if known is not None:
+            old = known.withColumnRenamed("community_key", "parent_key")
+            parents = several.select("parent_key").distinct()
+            again = old.join(parents, "parent_key").select(
+                F.col("parent_key").alias("community_key"), "label", "content", "weight", F.lit(False).alias("is_leaf"), F.lit(False).alias("is_copy")
+            )
+            several = several.join(old.select("parent_key"), "parent_key", "left_anti")
         grand = edges.select(F.col("parent_key").alias("child_key"), F.col("child_key").alias("grand_key")).join(
             done.select(F.col("community_key").alias("grand_key"), T.content_block(F.col("label"), F.col("content")).alias("text"), "weight"), "grand_key"
         )
@@ -184,13 +193,13 @@ def summarize_levels(nodes: DataFrame, edges: DataFrame, levels: list[int], summ
         asked = packed.mapInPandas(texts, "community_key string, text string, weight double")
         made = providers.summarize(asked, summarizer, "text").select(
             "community_key", F.coalesce("summary.label", F.lit("Community")).alias("label"),
-            F.coalesce("summary.description", F.substring("text", 1, 400)).alias("content"), "weight",
+            F.coalesce("summary.description", "text").alias("content"), "weight",
             F.lit(False).alias("is_leaf"), F.lit(False).alias("is_copy"),
         )
         marked = done.join(copied, "community_key", "left").select(
             "community_key", "label", "content", "weight", "is_leaf", (F.col("is_copy") | F.coalesce("copied", F.lit(False))).alias("is_copy")
         )
-        done = cut(marked.unionByName(single).unionByName(made))
+        done = cut(marked.unionByName(single).unionByName(made) if again is None else marked.unionByName(single).unionByName(made).unionByName(again))
     return done
 
 

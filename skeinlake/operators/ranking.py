@@ -88,13 +88,18 @@ def pack_blocks(items: list[tuple[str, str, str]], limit: int = 4096) -> list[di
     return out
 
 
+#: Texts of one lane of packing, which is one task.
+LANE_TEXTS = 20_000
+
+
 def global_blocks(rows: DataFrame, key: str, text: str, source: str, document: str, seed: int = 0, limit: int = 4096, lanes: int | None = None) -> DataFrame:
     """(lane, block_no, block, sources, documents): texts in random order, packed into blocks of up to ``limit`` characters.
 
-    Packing is a fold in order, so texts are dealt to lanes by hash and each lane packs its own; a lane's last
-    block is the only one that may stay short. ``lanes=1`` packs everything in one order.
+    Packing is a fold in order, so texts are dealt to lanes by hash, one for each ``LANE_TEXTS`` texts unless ``lanes`` are
+    given, and each lane packs its own; a lane's last block is the only one that may stay short. ``lanes=1`` packs
+    everything in one order.
     """
-    lanes = lanes or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = lanes or max(1, -(-rows.count() // LANE_TEXTS))
     dealt = rows.select(
         F.pmod(F.xxhash64(F.col(key)), F.lit(lanes)).cast("int").alias("lane"), F.xxhash64(F.col(key), F.lit(seed)).alias("o"),
         F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(source).cast("string").alias("s"), F.col(document).cast("string").alias("d"),

@@ -87,14 +87,9 @@ def expand_sql(sql: str) -> Expansion:
     """An expansion from a SELECT over the views ``hits``, ``nodes`` and ``edges``, checked before it runs."""
 
     def run(hits: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
-        from skeinlake.operators.text_to_query import check_sql
+        from skeinlake.operators.text_to_query import checked_query
 
-        spark = hits.sparkSession
-        views = {"hits": hits, **graph}
-        check_sql(spark, sql, set(views))
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
-        return spark.sql(sql)
+        return checked_query(hits.sparkSession, sql, {"hits": hits, **graph})
 
     return run
 
@@ -140,11 +135,11 @@ def _finish(hits: DataFrame, return_properties: tuple[str, ...] | None, expansio
     if expansion:
         return expansion(hits, graph or {})
     if return_properties:
-        return hits.select("id", "score", *(p for p in return_properties if p not in ("id", "score")))
+        return hits.select("id", "score", *(flt.field(p, hits.columns).alias(p) for p in return_properties if p not in ("id", "score")))
     return hits.drop("embedding")
 
 
-def answer(prompt: str, hits: DataFrame, answerer: providers.Answerer, text_col: str, limit: int = 20) -> dict[str, Any]:
-    """A model's answer from the hits' texts; hits are a top list, so they fit on the driver."""
-    rows = hits.limit(limit).collect()
+def answer(prompt: str, hits: DataFrame, answerer: providers.Answerer, text_col: str, limit: int | None = None) -> dict[str, Any]:
+    """A model's answer from the texts of all hits, which are a top list; ``limit`` is for tables of unknown size."""
+    rows = (hits if limit is None else hits.limit(limit)).collect()
     return {"answer": answerer.answer(prompt, [str(r[text_col]) for r in rows]), "retriever_result": rows}

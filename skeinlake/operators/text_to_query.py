@@ -49,6 +49,9 @@ def check_sql(spark: SparkSession, sql: str, views: set[str]) -> None:
         raise ValueError("files may not be read")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     ctes = {n.lower() for n in re.findall(r"(?:\bwith\b|,)\s*`?(\w+)`?\s*(?:\([^)]*\))?\s+as\s*\(", plain, re.IGNORECASE)}
+    # the names of common table expressions are known without their scope, so none may hide a table
+    if hidden := {n for n in ctes if n in {v.lower() for v in views} or spark.catalog.tableExists(n)}:
+        raise ValueError(f"{', '.join(sorted(hidden))} is a table's name")
     used = {n.lower() for n in _relations(plan)}
     if "unresolvedtablevaluedfunction" in plan.toString().lower():
         raise ValueError("table functions are not allowed")
@@ -67,9 +70,24 @@ def describe_views(spark: SparkSession, views: dict[str, DataFrame], hide: str =
 
 
 def text_to_query(spark: SparkSession, prompt: str, views: dict[str, DataFrame], translator: Translator, examples: tuple[str, ...] = ()) -> tuple[str, DataFrame]:
-    """The checked statement and its result. Views are registered under their names for the session."""
+    """The checked statement and its result."""
     sql = extract_sql(translator.translate(prompt, describe_views(spark, views), examples))
-    check_sql(spark, sql, set(views))
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return sql, spark.sql(sql)
+    return sql, checked_query(spark, sql, views)
+
+
+def checked_query(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
+    """Rows of a checked statement. The views have their names only while it is analysed; the session's own come back."""
+    known = spark._jsparkSession.sessionState().catalog()
+    before = {n: spark.table(n) for n in views if known.getTempView(n).isDefined()}
+    for n in before:
+        spark.catalog.dropTempView(n)
+    try:
+        check_sql(spark, sql, set(views))
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)

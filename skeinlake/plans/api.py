@@ -71,17 +71,37 @@ class Engine:
         listing = files.list_files(self.spark, folder).select("path", "modificationTime")
         pages, errors = files.load_documents(self.spark, folder, manifest)
         pages = self.tables.write("__pages", pages)
-        chunks = chunking.chunk_documents(pages, self.index_config.max_chunk_size, "path").join(pages.select("path", "file"), "path")
+        seen = listing.select("path", F.col("modificationTime").cast("string").alias("file_time"))
+        chunks = chunking.chunk_documents(pages, self.index_config.max_chunk_size, "path").join(pages.select("path", "file"), "path").join(seen, "path")
         rows = chunks.select(
-            F.sha2(F.concat_ws("#", "path", F.col("chunk_no").cast("string")), 256).alias("chunk_id"), F.col("file").alias("document"),
+            F.sha2(F.concat_ws("#", "path", "file_time", F.col("chunk_no").cast("string")), 256).alias("chunk_id"), F.col("file").alias("document"),
             F.concat_ws(" ", "file", "page_hint").alias("source"), T.chunk_label(F.col("file"), F.col("h1")).alias("label"), "content", "page_hint",
-            F.lit(1.0).alias("weight"), F.col("path").alias("file_path"),
+            F.lit(1.0).alias("weight"), F.col("path").alias("file_path"), "file_time",
         ).withColumn("embedding", providers.embed(F.col("content"), self.embedder))
-        self.tables.write("chunks", rows, mode="append")
+        self._add_chunks(rows, seen)
         self.tables.write("errors", errors, mode="append")
         self.tables.write("manifest", listing)
         self.tables.drop("__pages")
 
+    def _add_chunks(self, rows: DataFrame, seen: DataFrame) -> None:
+        """New chunks come in once, however often a load is begun; those of earlier states of edited files go, with what was
+        read from them."""
+        if not self.tables.exists("chunks"):
+            self.tables.write("chunks", rows)
+            return
+        old = self.tables.read("chunks")
+        fresh = rows.join(old.select("chunk_id"), "chunk_id", "left_anti")
+        now = seen.select(F.col("path").alias("file_path"), F.col("file_time").alias("now"))
+        stale = self.tables.write("__stale", old.join(now, "file_path").where("file_time <> now").select("chunk_id"))
+        if stale.isEmpty():
+            self.tables.write("chunks", fresh, mode="append")
+        else:
+            for name in ("triples", "processed"):
+                if self.tables.exists(name):
+                    self.tables.write(name, self.tables.read(name).join(stale, "chunk_id", "left_anti"))
+            self.tables.write("chunks", old.join(stale, "chunk_id", "left_anti").unionByName(fresh))
+        self.tables.drop("__stale")
+
     def extract(self) -> None:
         """Triples of chunks that have none yet."""
         chunks = self.tables.read("chunks").select("chunk_id", "content")
@@ -125,10 +145,15 @@ class Engine:
         described = described.select("vertex", F.coalesce("content", "description").alias("description"))
         leaves = communities.leaf_nodes(members, described, labels, weights)
         height = members.agg(F.max("level")).first()[0] or 0
-        done = communities.summarize_levels(leaves, edges, list(range(height)), self.summarizer)
+        signed = self.tables.write("__signed", communities.signatures(members, self.tables.read("relations")))
+        known = communities.reuse(signed, self.tables.read("summaries")) if self.tables.exists("summaries") else None
+        done = communities.summarize_levels(leaves, edges, list(range(height)), self.summarizer, known=known)
         document = self.tables.read("community_sources").join(chunks.select("chunk_id", "document"), "chunk_id").groupBy("community_key").agg(F.min("document").alias("document"))
         nodes = done.withColumn("degree", F.split_part("community_key", F.lit("/"), F.lit(1)).cast("int")).join(document, "community_key", "left")
         nodes = self.tables.write("communities", nodes, ("degree",))
+        summaries = nodes.where("NOT is_leaf AND NOT is_copy").join(signed, "community_key")
+        self.tables.write("summaries", summaries.select("signature", "community_key", "label", "content", "weight"))
+        self.tables.drop("__signed")
         self.tables.write("community_vectors", communities.embed_communities(nodes, self.embedder))
 
     def index_graph(self) -> None:

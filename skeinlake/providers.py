@@ -96,7 +96,7 @@ class OverlapJudge:
     def judge(self, prompt: str, block: str) -> str:
         asked = set(_WORD.findall(prompt.lower()))
         have = set(_WORD.findall(block.lower()))
-        return json.dumps({"information": block[:400], "confidence": round(100 * len(asked & have) / max(1, len(asked)))}, ensure_ascii=False)
+        return json.dumps({"information": block, "confidence": round(100 * len(asked & have) / max(1, len(asked)))}, ensure_ascii=False)
 
 
 class ContextAnswerer:
