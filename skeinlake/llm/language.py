@@ -1,10 +1,13 @@
 """Operator 1: language identification by interpolated Kneser-Ney character models.
 
-One 4-gram model a language, from the labelled texts of the whole table. An n-gram of up to four UTF-16
-range characters is one 64-bit key; keys are mixed by a bijection and kept in sorted arrays, with a directory
-on the top bits, one array an order for all languages together. Beside each key stand its interpolated log
-probabilities in every language, so a text is scored in all languages by one look-up a character; only unseen
-n-grams go on to shorter ones.
+One 4-gram model a language, from all labelled texts and all their n-grams. An n-gram of up to four characters of 16
+bits is one 64-bit key; keys are mixed by a bijection and kept in sorted arrays, with a directory on the top bits, one array
+an order for all languages together. Beside each key stand its interpolated log probabilities in every language, so
+a text is scored in all languages by one look-up a character; only unseen n-grams go on to shorter ones.
+
+A model that is larger than ``SHARD_NGRAMS`` n-grams is cut by the characters before the last: an n-gram, its suffixes
+and their contexts are in one shard, single characters in all. Texts are scored shard by shard and the sums added, so no
+worker and no broadcast holds more than a shard, and results don't depend on it.
 
 The language of least cross-entropy per character wins. It is rejected where its cross-entropy lies too far above what
 that language's texts show (by median and deviation over the table, and the noise of short texts), or
@@ -13,6 +16,7 @@ where the runner-up is as good.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +28,9 @@ from skeinlake.llm import arrays as A
 from skeinlake.llm import jobs
 
 ORDER = 4
-BOS, OTHER = 2, 3
+BOS = 2
+#: N-grams of all languages in one shard: about 73 MB in a worker, 300 MB on the driver while it is made.
+SHARD_NGRAMS = 1_000_000
 GRAM = np.dtype([("lang", "<i4"), ("key", "<u8"), ("count", "<i8")])
 _FLUSH = 6_000_000
 
@@ -35,11 +41,12 @@ def normalised(column: pa.Array) -> pa.Array:
 
 
 def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each with ``ORDER - 1`` start marks before it, and the first place of each text."""
+    """Characters of all texts in 16 bits, each text with ``ORDER - 1`` start marks before it, and the first place of each. Those
+    above U+FFFF, 128 to a symbol, take the range of surrogates, which no text has."""
     n = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     mark = chr(BOS) * (ORDER - 1)
     code = np.frombuffer((mark + mark.join(texts.to_pylist())).encode("utf-32-le", "surrogatepass"), np.uint32) if len(n) else np.zeros(0, np.uint32)
-    code = np.where(code > 0xFFFF, OTHER, code).astype(np.uint64)
+    code = np.where(code > 0xFFFF, 0xD800 | code >> 7 & 0x7FF, code).astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(n + ORDER - 1)])
     return code, first
 
@@ -154,19 +161,10 @@ class KneserNey:
     ``back[n][row]`` holds the ln weight of the shorter context after context ``row``.
     """
 
-    def __init__(self, lang: np.ndarray, key: np.ndarray, count: np.ndarray, languages: int):
-        self.languages = languages
+    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], discounts: dict[tuple[int, int], float], letters: int, languages: int, part: int = 0, cuts: int = 1):
+        self.languages, self.part, self.cuts = languages, part, cuts
         self.logp: dict[int, tuple[HashArray, np.ndarray]] = {}
         self.back: dict[int, tuple[HashArray, np.ndarray]] = {}
-        tables = {ORDER: (lang.astype(np.int64), key, count.astype(np.float64))}
-        for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct longer n-grams that end so
-            g, k, _ = tables[n + 1]
-            k = k & A.U64((1 << 16 * n) - 1)
-            order = np.lexsort((k, g))
-            g, k = g[order], k[order]
-            at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])) if len(k) else np.zeros(0, np.int64)
-            tables[n] = (g[at], k[at], np.diff(np.append(at, len(k))).astype(np.float64))
-        letters = max(1, len(np.unique(tables[1][1])))
         finder: HashArray | None = None
         self.floor = float(np.log(1.0 / (letters + 1)))
         for n in range(1, ORDER + 1):
@@ -185,8 +183,7 @@ class KneserNey:
                 counts = np.zeros(len(own))
                 counts[here.find(kx)] = cx
                 total, kinds = np.bincount(crow, cx, len(ctx)), np.bincount(crow, minlength=len(ctx))
-                one, two = np.count_nonzero(cx == 1), np.count_nonzero(cx == 2)
-                discount = one / (one + 2 * two) if one and two else 0.5
+                discount = discounts.get((n, x), 0.5)
                 known = total > 0
                 weight = np.where(known, discount * kinds / np.maximum(total, 1), 1.0)
                 short = 1.0 / (letters + 1) if below is None else np.exp(self.logp[n - 1][1][below, x])
@@ -196,6 +193,10 @@ class KneserNey:
             self.back[n] = (contexts, back)
             finder = here
 
+    def mine(self, key: np.ndarray) -> np.ndarray:
+        """Which 4-grams are scored by this shard."""
+        return shard_of(key, self.cuts) == self.part
+
     def score(self, key: np.ndarray) -> np.ndarray:
         """ln p of the last character of each 4-gram, by language."""
         rows, values = self.logp[ORDER]
@@ -222,42 +223,145 @@ class KneserNey:
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], KneserNey]:
-    """Languages in order, and their models, from all labelled rows and all their n-grams."""
+def shard_of(key: np.ndarray, cuts: int) -> np.ndarray:
+    """Shard of n-grams of three characters or more: by the last context character, and by the two last."""
+    one = A.mix(key >> A.U64(16) & A.U64(0xFFFF))
+    two = A.mix(key >> A.U64(16) & A.U64(0xFFFFFFFF))
+    return (one % A.U64(cuts) * A.U64(cuts) + two % A.U64(cuts)).astype(np.int64)
+
+
+def _with_shard(grams: DataFrame, cuts: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(1).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard_of(key, cuts).astype(np.int32))], names=["lang", "key", "count", "shard"])
+
+    return grams.mapInArrow(run, "lang int, key bigint, count bigint, shard int")
+
+
+def _shorter(grams: DataFrame, bits: int) -> DataFrame:
+    """Continuation counts: distinct n-grams that end in each shorter one."""
+    return grams.groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("key")).agg(F.count("*").alias("count"))
+
+
+def models(docs: DataFrame, text_col: str, lang_col: str, tmp: jobs.Scratch) -> tuple[list[str], int, Iterator[KneserNey]]:
+    """Languages in order, the number of shards, and the models of one shard after another."""
     langs = [r[0] for r in docs.select(F.col(lang_col).cast("string")).where(F.col(lang_col).isNotNull()).distinct().orderBy(lang_col).collect()]
+    four = tmp.save(count_ngrams(docs, text_col, lang_col, langs, jobs.parts_for(docs)))
+    three = tmp.save(_shorter(four, 48))
+    two = tmp.save(_shorter(three, 32))
+    one = tmp.save(_shorter(two, 16))
+    discounts: dict[tuple[int, int], float] = {}
+    for n, t in ((4, four), (3, three), (2, two), (1, one)):
+        for r in t.groupBy("lang").agg(F.count_if(F.col("count") == 1).alias("a"), F.count_if(F.col("count") == 2).alias("b")).collect():
+            discounts[n, r.lang] = r.a / (r.a + 2 * r.b) if r.a and r.b else 0.5
+    letters = max(1, one.select("key").distinct().count())
+    cuts = 1
+    while True:
+        cut = four if cuts == 1 else _with_shard(four, cuts)
+        largest = four.count() if cuts == 1 else cut.groupBy("shard").count().agg(F.max("count")).first()[0]
+        if largest <= SHARD_NGRAMS or cuts >= 256:
+            break
+        cuts *= 2
+    by_shard = [_with_shard(t, cuts).repartition("shard").sortWithinPartitions("shard") for t in (four, three)] if cuts > 1 else []
+    by_shard = [tmp.save(t) for t in by_shard]
+
+    def arrays(t: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = t.select("lang", "key", "count").toArrow()
+        lang, key, count = (got.column(i).to_numpy() for i in range(3))
+        return lang.astype(np.int64), key.astype(np.int64).view(np.uint64), count.astype(np.float64)
+
+    def made() -> Iterator[KneserNey]:
+        single = arrays(one)
+        for part in range(cuts * cuts):
+            if cuts == 1:
+                tables = {4: arrays(four), 3: arrays(three), 2: arrays(two)}
+            else:
+                first = F.lit(part // cuts)
+                mine = _with_shard(two, cuts).where(F.floor(F.col("shard") / cuts) == first)
+                tables = {4: arrays(by_shard[0].where(F.col("shard") == part)), 3: arrays(by_shard[1].where(F.col("shard") == part)), 2: arrays(mine)}
+            yield KneserNey({1: single, **tables}, discounts, letters, len(langs), part, cuts)
+
+    return langs, cuts * cuts, made()
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], KneserNey]:
+    """Languages in order, and their models where these are one shard."""
     with jobs.Scratch(docs.sparkSession) as tmp:
-        got = tmp.save(count_ngrams(docs, text_col, lang_col, langs, jobs.parts_for(docs))).toArrow()
-    lang, key, count = (got.column(i).to_numpy() for i in range(3))
-    return langs, KneserNey(lang, key.astype(np.int64).view(np.uint64), count, len(langs))
+        langs, shards, made = models(docs, text_col, lang_col, tmp)
+        if shards > 1:
+            raise ValueError("the model has several shards")
+        return langs, next(made)
 
 
 SCORES = "doc_id bigint, n bigint, best int, entropy double, margin double"
 
 
-def scored(docs: DataFrame, model: KneserNey, id_col: str, text_col: str) -> DataFrame:
+def _decided(doc: pa.Array, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     """Best language of each text with its cross-entropy per character and the runner-up's excess, in nats."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    entropy = -sums / np.maximum(n, 1)[:, None]
+    order = np.argsort(entropy, axis=1, kind="stable")
+    i = np.arange(len(n))
+    low = entropy[i, order[:, 0]]
+    gap = entropy[i, order[:, 1]] - low if entropy.shape[1] > 1 else np.full(len(n), np.inf)
+    columns = [doc, pa.array(n), pa.array(order[:, 0].astype(np.int32)), pa.array(low), pa.array(gap)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "best", "entropy", "margin"])
+
+
+def _sums(model: KneserNey, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each text, and the log probabilities, by language, of those that this shard scores."""
+    code, first = characters(normalised(texts))
+    place, n = real_places(first)
+    key = keys_of(code)[place]
+    if model.cuts > 1:
+        mine = np.flatnonzero(model.mine(key))
+        logp = np.zeros((len(key), model.languages))
+        logp[mine] = model.score(key[mine])
+    else:
+        logp = model.score(key).astype(np.float64)
+    total = np.concatenate([np.zeros((1, logp.shape[1])), np.cumsum(logp, axis=0)])
+    ends = np.cumsum(n)
+    return n, total[ends] - total[ends - n]
+
+
+def scored(docs: DataFrame, shards: Iterator[KneserNey], several: bool, id_col: str, text_col: str, tmp: jobs.Scratch) -> DataFrame:
+    """(doc_id, n, best, entropy, margin) of each text."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, part in A.slices(batch.column(1), A.SLICE_BYTES // 2):
-                part = normalised(part)
-                code, first = characters(part)
-                place, n = real_places(first)
-                logp = shared.value.score(keys_of(code)[place]).astype(np.float64)
-                sums = np.concatenate([np.zeros((1, logp.shape[1])), np.cumsum(logp, axis=0)])
-                ends = np.cumsum(n)
-                entropy = -(sums[ends] - sums[ends - n]) / np.maximum(n, 1)[:, None]
-                order = np.argsort(entropy, axis=1, kind="stable")
-                i = np.arange(len(n))
-                low = entropy[i, order[:, 0]]
-                gap = entropy[i, order[:, 1]] - low if entropy.shape[1] > 1 else np.full(len(n), np.inf)
-                rest = batch.column(0).slice(at, len(part))
-                columns = [rest, pa.array(n), pa.array(order[:, 0].astype(np.int32)), pa.array(low), pa.array(gap)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "best", "entropy", "margin"])
-
-    return rows.mapInArrow(run, SCORES)
+    if several:  # rows need a number by which their sums meet again
+        rows = tmp.save(rows.withColumn("row", F.monotonically_increasing_id()))
+    parts, languages = [], 0
+    for model in shards:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        languages = model.languages
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, part in A.slices(batch.column(1), A.SLICE_BYTES // 2):
+                    n, sums = _sums(shared.value, part)
+                    doc = batch.column(0).slice(at, len(part))
+                    if not several:
+                        yield _decided(doc, n, sums)
+                        continue
+                    columns = [doc, batch.column(2).slice(at, len(part)), pa.array(n), *(pa.array(sums[:, x]) for x in range(sums.shape[1]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n", *(f"s{x}" for x in range(sums.shape[1]))])
+
+        schema = ", ".join(["doc_id bigint, row bigint, n bigint", *(f"s{x} double" for x in range(languages))]) if several else SCORES
+        parts.append(tmp.save(rows.mapInArrow(run, schema)))
+        shared.destroy()
+    if not several:
+        return parts[0]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    names = [f"s{x}" for x in range(languages)]
+    added = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.sum(c).alias(c) for c in names))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _decided(b.column(0), b.column(1).to_numpy(), np.stack([b.column(2 + x).to_numpy() for x in range(languages)], axis=1))
+
+    return tmp.save(added.select("doc_id", "n", *names).mapInArrow(decide, SCORES))
 
 
 def identify_language(
@@ -282,11 +386,12 @@ def identify_language(
         F.col(id_col).cast("bigint").alias("doc_id"), F.lit("und").alias("language"), F.lit(None).cast("string").alias("best_language"),
         F.lit(None).cast("double").alias("cross_entropy"), F.lit(None).cast("double").alias("margin"),
     )
-    langs, model = train(docs, text_col, lang_col)
-    if not langs or not len(model.logp[ORDER][1]):
-        return empty
     with jobs.Scratch(docs.sparkSession) as tmp:
-        rows = tmp.save(scored(docs, model, id_col, text_col))
+        langs, shards, made = models(docs, text_col, lang_col, tmp)
+        first = next(made) if langs else None
+        if first is None or shards == 1 and not len(first.logp[ORDER][1]):
+            return empty
+        rows = scored(docs, itertools.chain([first], made), shards > 1, id_col, text_col, tmp)
         middle = tmp.save(rows.where("n > 0").groupBy("best").agg(F.percentile_approx("entropy", 0.5).alias("middle")))
         away = F.percentile_approx(F.abs(F.col("entropy") - F.col("middle")), 0.5)
         level = tmp.save(jobs.join_small(rows.where("n > 0"), middle, "best", "inner").groupBy("best").agg(F.first("middle").alias("middle"), (away * 1.4826).alias("spread")))

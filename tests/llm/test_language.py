@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from skeinlake.llm import language as L
+from skeinlake.llm import jobs, language as L
 
 SYLLABLES = {"aa": ["ka", "to", "mi", "ra", "ne", "su"], "bb": ["schl", "ung", "ein", "ter", "ach"], "cc": ["éau", "oi", "çon", "tre", "ment"]}
 
@@ -115,7 +115,8 @@ def test_held_out_accuracy(spark, table):
     r = random.Random(99)
     fresh = [(i, sentence(r, lang := r.choice(list(SYLLABLES)), 8), lang) for i in range(150)]
     langs, model = L.train(table)
-    got = L.scored(spark.createDataFrame(fresh, "doc_id bigint, text string, lang string"), model, "doc_id", "text").collect()
+    with jobs.Scratch(spark) as tmp:
+        got = L.scored(spark.createDataFrame(fresh, "doc_id bigint, text string, lang string"), iter([model]), False, "doc_id", "text", tmp).collect()
     assert sum(langs[g.best] == dict((i, x) for i, _, x in fresh)[g.doc_id] for g in got) >= 147
 
 
@@ -135,9 +136,8 @@ def test_hash_array():
     assert (L.HashArray(keys[:0]).find(keys[:3]) == -1).all()
 
 
-def test_no_ngram_is_dropped(spark, monkeypatch):
+def test_no_ngram_is_dropped(spark):
     """However many n-grams there are, the model has all of them, the rare ones of a small language too."""
-    monkeypatch.setattr(L, "MODEL_NGRAMS", 300, raising=False)
     r = random.Random(4)
     rows = [(i, sentence(r, "aa", 30), "aa") for i in range(60)] + [(100 + i, f"{sentence(r, 'bb', 3)} x{i}q", "bb") for i in range(3)]
     langs, model = L.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
@@ -148,3 +148,26 @@ def test_no_ngram_is_dropped(spark, monkeypatch):
     grams = sorted(grams)
     key = np.array([sum(ord(c) << 16 * (L.ORDER - 1 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
     assert np.allclose(model.score(key), [[math.log(m.p(g)) for m in plain] for g in grams], atol=1e-4)
+
+
+def test_shards_agree(table, monkeypatch):
+    """A model in many shards gives what one gives."""
+    key = lambda r: (r.doc_id is None, r.doc_id, r.cross_entropy or 0)
+    whole = sorted(L.identify_language(table).collect(), key=key)
+    monkeypatch.setattr(L, "SHARD_NGRAMS", 400)
+    cut = sorted(L.identify_language(table).collect(), key=key)
+    assert [(r.doc_id, r.language, r.best_language) for r in cut] == [(r.doc_id, r.language, r.best_language) for r in whole]
+    assert np.allclose([r.cross_entropy or 0 for r in cut], [r.cross_entropy or 0 for r in whole], atol=1e-5)
+
+
+def test_long_texts_clashing_columns_and_rare_scripts(spark):
+    r = random.Random(7)
+    rows = [(i, sentence(r, g, 12), g, 1, 2) for i in range(60) for g in ("aa", "bb")]
+    rows += [(900, sentence(r, "aa", 60000), "aa", 1, 2), (901, "\U0001d4d0\U0001d4d1" * 30, None, 1, 2), (902, "\U00020000\U00020001" * 30, None, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n int, best int")
+    got = {x.doc_id: x.language for x in L.identify_language(df).collect()}
+    assert got[900] == "aa" and got[901] == got[902] == "und"
+    import pyarrow as pa
+
+    code, _ = L.characters(pa.array(["\U0001d4d0\U00020000\ue000"], pa.large_string()))
+    assert len(set(code[L.ORDER - 1 :].tolist())) == 3
