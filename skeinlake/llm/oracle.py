@@ -8,32 +8,49 @@ _WORD = rf"(?:[{_ALONE}]\p{{M}}*|(?:[^\P{{L}}{_ALONE}]|\p{{M}}|\p{{N}})+)"
 _GAP = r"[^\p{L}\p{M}\p{N}]*"
 _WS = r"[ \t\n\r\x0b\x0c]"
 
-#: Cut every token of a 50-token window that also occurs earlier by (doc_id, position).
-REPEATS = rf"""
-    WITH d AS (
-        SELECT doc_id, text, regexp_extract_all(text, '{_WS[:1]}^{_WS[1:]}+{_WS}*') AS p FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
-    ), t AS (
-        SELECT doc_id, list_transform(p, lambda x: regexp_replace(x, '{_WS}+$', '')) AS t FROM d
-    ), w AS (
-        SELECT doc_id, i, md5(array_to_string(list_slice(t, i, i + 49), ' ')) AS h FROM t, unnest(generate_series(1, len(t) - 49)) AS u(i)
-    ), f AS (
-        SELECT h, min(struct_pack(doc_id := doc_id, i := i)) AS f FROM w GROUP BY h
-    ), g AS (
-        SELECT DISTINCT doc_id, k FROM (
-            SELECT w.doc_id, unnest(generate_series(w.i, w.i + 49)) AS k FROM w JOIN f USING (h) WHERE w.doc_id <> f.f.doc_id OR w.i <> f.f.i)
-    ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-    pieces AS (
-        SELECT d.doc_id, k, p[k] AS piece FROM d JOIN n USING (doc_id), unnest(generate_series(1, len(p))) AS u(k)
-    ), kept AS (
-        SELECT doc_id, string_agg(piece, '' ORDER BY k) AS body FROM pieces WHERE (doc_id, k) NOT IN (SELECT doc_id, k FROM g) GROUP BY doc_id
-    )
-    SELECT documents.doc_id,
-           CASE WHEN n.n IS NULL THEN documents.text ELSE regexp_extract(documents.text, '^{_WS}*') || coalesce(body, '') END AS text,
-           lang, source, n_chars, coalesce(n.n, 0)::INT AS removed_tokens
-    FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
-    WHERE n.n IS NULL OR coalesce(body, '') <> ''
+#: Lengths of windows, each twice the one before, as far as texts of 1.6 million tokens go.
+_LEVELS = [50 * 2**k for k in range(16)]
+#: Windows of each length that occur more than once, put together from two of half the length.
+_DOUBLED = "".join(
+    f"""
+    w{n} AS (SELECT a.doc_id, a.i, md5(a.h || b.h) AS h FROM r{n // 2} a JOIN r{n // 2} b ON a.doc_id = b.doc_id AND b.i = a.i + {n // 2}),
+    r{n} AS (SELECT * FROM w{n} QUALIFY count(*) OVER (PARTITION BY h) > 1),"""
+    for n in _LEVELS[1:]
+)
+_LONGEST = " UNION ALL ".join(f"SELECT DISTINCT doc_id, {n} AS longest FROM r{n}" for n in _LEVELS)
+
+
+def _repeats(longest: bool) -> str:
+    """Cut every token of a 50-token window that also occurs earlier by (doc_id, position)."""
+    levels = f"r50 AS (SELECT doc_id, i, h FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1), {_DOUBLED} l AS (SELECT doc_id, max(longest)::INT AS longest_repeat FROM ({_LONGEST}) GROUP BY doc_id)," if longest else ""
+    return rf"""
+        WITH d AS (
+            SELECT doc_id, text, regexp_extract_all(text, '{_WS[:1]}^{_WS[1:]}+{_WS}*') AS p FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+        ), t AS (
+            SELECT doc_id, list_transform(p, lambda x: regexp_replace(x, '{_WS}+$', '')) AS t FROM d
+        ), w AS (
+            SELECT doc_id, i, md5(array_to_string(list_slice(t, i, i + 49), ' ')) AS h FROM t, unnest(generate_series(1, len(t) - 49)) AS u(i)
+        ), {levels} f AS (
+            SELECT h, min(struct_pack(doc_id := doc_id, i := i)) AS f FROM w GROUP BY h
+        ), g AS (
+            SELECT DISTINCT doc_id, k FROM (
+                SELECT w.doc_id, unnest(generate_series(w.i, w.i + 49)) AS k FROM w JOIN f USING (h) WHERE w.doc_id <> f.f.doc_id OR w.i <> f.f.i)
+        ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        pieces AS (
+            SELECT d.doc_id, k, p[k] AS piece FROM d JOIN n USING (doc_id), unnest(generate_series(1, len(p))) AS u(k)
+        ), kept AS (
+            SELECT doc_id, string_agg(piece, '' ORDER BY k) AS body FROM pieces WHERE (doc_id, k) NOT IN (SELECT doc_id, k FROM g) GROUP BY doc_id
+        )
+        SELECT documents.doc_id,
+               CASE WHEN n.n IS NULL THEN documents.text ELSE regexp_extract(documents.text, '^{_WS}*') || coalesce(body, '') END AS text,
+               lang, source, n_chars, coalesce(n.n, 0)::INT AS removed_tokens{', longest_repeat' if longest else ''}
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id){' LEFT JOIN l USING (doc_id)' if longest else ''}
+        WHERE n.n IS NULL OR coalesce(body, '') <> ''
 """
 
+
+REPEATS, DOUBLED_REPEATS = _repeats(False), _repeats(True)
+
 #: All pairs of three-word shingle sets with Jaccard similarity 0.55, their connected components, and the least of each.
 NEAR = rf"""
     WITH RECURSIVE w AS (

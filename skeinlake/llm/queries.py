@@ -84,4 +84,5 @@ SQL: dict[str, str] = {
     "op3_suffix_dedup": oracle.REPEATS,
     "op4_setsketch_dedup": oracle.NEAR,
     "op5_decontaminate": oracle.LEAKS,
+    "op10_doubling_dedup": oracle.DOUBLED_REPEATS,
 }
