@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinlake.functions import text as T
 
@@ -23,8 +23,7 @@ def search(index: DataFrame, query: str, k: int, n_docs: DataFrame | None = None
     Idf is ``ln(1 + (N - df + 0.5) / (df + 0.5))``; N and the mean length come from the whole index, or from ``n_docs``
     (n, mean_length) where they are kept beside it. Ties go to the smaller id.
     """
-    spark = index.sparkSession
-    asked = sorted(set(spark.range(1).select(T.tokens(F.lit(query)).alias("w")).first()["w"]))
+    asked = terms_of(index.sparkSession, query)
     if n_docs is None:
         n_docs = corpus_stats(index)
     hits = index.where(F.col("term").isin(asked)) if asked else index.where(F.lit(False))
@@ -36,6 +35,32 @@ def search(index: DataFrame, query: str, k: int, n_docs: DataFrame | None = None
     return joined.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def terms_of(spark: SparkSession, query: str) -> list[str]:
+    return sorted(set(spark.range(1).select(T.tokens(F.lit(query)).alias("w")).first()["w"]))
+
+
+def search_texts(docs: DataFrame, id_col: str, text_cols: list[str], query: str, k: int) -> DataFrame:
+    """(id, score) of the best ``k`` of a table without an index, by the same BM25, each row a document.
+
+    One scan counts documents, lengths and the query's terms, one scores; nothing is shuffled but sums and top lists.
+    """
+    asked = terms_of(docs.sparkSession, query)
+    words = T.tokens(F.concat_ws(" ", *(F.col(c).cast("string") for c in text_cols)))
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") > 0)
+    count = lambda t: F.aggregate("w", F.lit(0), lambda s, x: s + (x == F.lit(t)).cast("int"))
+    rows = rows.select("id", F.size("w").alias("length"), *(count(t).alias(f"t{i}") for i, t in enumerate(asked)))
+    found = [F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(asked))]
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *found)
+    norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
+    score, some = F.lit(0.0), F.lit(False)
+    for i in range(len(asked)):
+        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        score = score + idf * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + norm)
+        some = some | (F.col(f"t{i}") > 0)
+    hits = rows.where(some).crossJoin(F.broadcast(stats))  # one row
+    return hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def corpus_stats(index: DataFrame) -> DataFrame:
     """(n, mean_length) of the indexed documents; one row."""
     return index.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))

@@ -33,13 +33,14 @@ def knn_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = _corpus(spark, sf_dir).where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    """Each row whose id is divisible by 20 as a query, against all rows."""
+    queries = _corpus(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     hits = similarity.vector_topk_many(_corpus(spark, sf_dir), queries, k=5)
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 def knn_all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of the table as a query; ``knn_multi_query`` is the same search for the eight of its SQL."""
+    """Each row of the table as a query; ``knn_multi_query`` is the same search for the rows that its SQL names."""
     hits = similarity.vector_topk_all(_corpus(spark, sf_dir), k=5)
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
@@ -53,7 +54,9 @@ def cosine_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def influence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = similarity.vector_topk(_corpus(spark, sf_dir), _probe(spark, sf_dir), k=40, cutoff=0.04).select(F.col("vec_id").alias("community_key"), "score")
-    facts = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("community_key"), F.col("l_orderkey").alias("chunk_id")).agg(F.count("*").alias("cnt"))
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("community_key"), F.col("l_orderkey").alias("chunk_id"))
+    lines = lines.join(F.broadcast(hits.select("community_key")), "community_key", "left_semi")  # 40 rows at most
+    facts = lines.groupBy("community_key", "chunk_id").agg(F.count("*").alias("cnt"))
     top = ranking.chunk_influence(hits, facts, 20)
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), "o_orderpriority")
     rows = orders.join(F.broadcast(top), "chunk_id")
@@ -64,8 +67,8 @@ QUESTION = "the quality of things and ideas that hold"
 
 
 def fulltext_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = fulltext.postings(_table(spark, sf_dir, "documents"), "doc_id", ["text"])
-    return fulltext.search(index, QUESTION, 20).select("id", F.round("score", 6).alias("score"))
+    hits = fulltext.search_texts(_table(spark, sf_dir, "documents"), "doc_id", ["text"], QUESTION, 20)
+    return hits.select("id", F.round("score", 6).alias("score"))
 
 
 def fulltext_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +78,8 @@ def fulltext_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_vector = similarity.vector_topk(_corpus(spark, sf_dir), _probe(spark, sf_dir), k=20, similarity="cosine").select(F.col("vec_id").alias("id"), "score")
-    index = fulltext.postings(_table(spark, sf_dir, "documents"), "doc_id", ["text"])
-    fused = ranking.fuse(by_vector, fulltext.search(index, QUESTION, 20), "id", 20)
+    by_text = fulltext.search_texts(_table(spark, sf_dir, "documents"), "doc_id", ["text"], QUESTION, 20)
+    fused = ranking.fuse(by_vector, by_text, "id", 20)
     return fused.select("id", F.round("score", 6).alias("score"))
 
 
@@ -142,7 +145,7 @@ SQL = {
         SELECT query_id, vec_id, score, rank FROM (
             SELECT q.vec_id AS query_id, e.vec_id, round({_score()}, 6) AS score,
                    (row_number() OVER (PARTITION BY q.vec_id ORDER BY {_score()} DESC, e.vec_id))::INT AS rank
-            FROM embeddings e, embeddings q WHERE q.vec_id < 8) WHERE rank <= 5
+            FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 5
     """,
     "cosine_topk_filtered": f"""
         SELECT e.vec_id, e.label, round({_COSINE}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
