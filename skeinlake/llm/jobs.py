@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only if its measured rows times their width stay below this.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 #: Input bytes of one bucket of an exchange, which a Python worker holds at once, and of one partition, which may have many.
 BUCKET_BYTES = 10 << 20
 PART_BYTES = 512 << 20
