@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skeinlake.llm import components, jobs, setsketch as S
 
@@ -89,3 +90,16 @@ def test_components(spark):
         got = components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), tmp).collect()
     want = {1: 1, 2: 1, 3: 1, 9: 4, 4: 4, 8: 4, 20: 20, 21: 20} | {i: 100 for i in range(100, 161)}
     assert sorted((r.doc_id, r.keeper) for r in got) == sorted(want.items())
+
+
+def test_hot_bucket_with_an_unlike_center(spark, monkeypatch):
+    """One bucket of all: the smallest member is like nobody, the others are two chains and loners. No link is lost."""
+    monkeypatch.setattr(S, "bands", lambda sketches: sketches.select(F.lit(7).cast("bigint").alias("bucket"), "doc_id"))
+    w = [f"t{i}" for i in range(4000)]
+    rows = [(0, " ".join(f"other{i}" for i in range(60)))]
+    for base in (0, 2000):
+        rows += [(base + k + 1, " ".join(w[base + 8 * k : base + 8 * k + 80])) for k in range(60)]  # each is like its neighbours only
+    rows += [(5000 + k, " ".join(f"u{k}x{i}" for i in range(40))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id for x in S.dedup_near(df).collect()}
+    assert got == brute(rows, 0.55) == {0, 1, 2001, *range(5000, 5020)}

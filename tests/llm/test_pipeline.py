@@ -71,6 +71,24 @@ def test_run(spark, folder):
     assert not {x for x in kept if 300 <= x < 500 or 600 <= x < 700} and {0, 200, 201, 500} <= kept
 
 
+def test_empty_tables_repeated_rows_and_clashing_columns(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    for name, table, items in (("empty", docs.limit(0), benchmark), ("twice", docs.where("doc_id < 40").unionByName(docs.where("doc_id < 40")), benchmark.limit(0))):
+        table = table.selectExpr("*", "1 AS removed_tokens", "2 AS start", "'x' AS bucket", "3 AS keeper", "4 AS g", "5 AS n", "6 AS row")
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        table = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(P.STAGES):
+            out = stage(spark, table, f"{tmp_path}/{name}")
+            if k < len(P.STAGES) - 1:
+                assert out.columns == table.columns
+            out.write.parquet(f"{tmp_path}/{name}/{k}")
+            table = spark.read.parquet(f"{tmp_path}/{name}/{k}")
+        rows = table.collect()
+        assert not rows if name == "empty" else {r.doc_id for r in rows} == set(range(40)) and len(rows) == 80
+
+
 def test_shape_of_contract():
     assert [n for n, _ in P.STAGES] == ["quality_rules", "near_duplicates", "substring_dedup", "decontamination", "packing"]
     assert P.ORACLE_SQL is None and re.match("All stages", P.run.__doc__)
