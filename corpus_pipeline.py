@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; it is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of ``documents``, with ``n_chars`` kept true.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, ties and empty tables, as its operator's
+docstring says: documents without an id or a text pass all stages but the last, which packs neither; rows that repeat a
+doc_id stay or go together; an empty table gives an empty one. Extra columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
