@@ -37,6 +37,31 @@ class Warehouse:
         self._fs.rename(self._path(fresh), self._path(self.path(name)))
         return self.read(name)
 
+    def duplicates(self, df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        """(key, n) of keys that several rows have."""
+        return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+    def upsert(self, name: str, rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        """Replace the rows that have a key of ``rows`` and add the others. Keys of ``rows`` must be unique and not null;
+        columns that one side lacks are null there."""
+        bad = rows.where(F.expr(" OR ".join(f"`{c}` IS NULL" for c in key))).select(*key).unionByName(self.duplicates(rows, key).select(*key))
+        if not bad.isEmpty():
+            raise ValueError(f"keys ({', '.join(key)}) must be unique and not null")
+        if not self.exists(name):
+            return self.write(name, rows)
+        others = self.read(name).join(rows.select(*key), list(key), "left_anti")
+        return self.write(name, others.unionByName(rows, allowMissingColumns=True))
+
+    def update(self, name: str, changes: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        """Set the columns of ``changes`` in rows of its keys; nulls in it change nothing, and unknown keys add nothing."""
+        if not self.duplicates(changes, key).isEmpty():
+            raise ValueError(f"keys ({', '.join(key)}) must be unique")
+        old = self.read(name)
+        fields = [c for c in changes.columns if c not in key]
+        new = changes.select(*key, *(F.col(c).alias(f"__new_{c}") for c in fields))
+        both = old.join(new, list(key), "left")
+        return self.write(name, both.select(*(F.coalesce(f"__new_{c}", c).alias(c) if c in fields else F.col(c) for c in old.columns)))
+
     def create_if_missing(self, name: str, schema: str) -> DataFrame:
         if not self.exists(name):
             self.spark.createDataFrame([], schema).write.parquet(self.path(name))
