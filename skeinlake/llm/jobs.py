@@ -53,11 +53,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a saved table that nothing reads any more."""
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _delete(self.spark, name)
-
     def keep(self, df: DataFrame) -> DataFrame:
         """A result that needs none of the scratch tables any more, in reliable checkpoint storage."""
         return df.checkpoint()
