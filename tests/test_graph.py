@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from hypothesis import given, settings, strategies as st
 import pytest
 
@@ -241,3 +242,19 @@ def test_all_levels(spark):
     edges = Q.two_level_edge_weight_all(spark, folder).selectExpr("left(child_key, 5) AS level").distinct().collect()
     assert sorted(x.level for x in rollup) == ["00000", "00001", "00002", "00003"]
     assert sorted(x.level for x in edges) == ["00001", "00002", "00003"]
+
+
+def test_sparse_cover_by_chunk(spark, monkeypatch):
+    """Up to three hops the cover goes chunk by chunk, with or without the last step, and equals the greedy search in one order."""
+    r = random.Random(5)
+    pairs = {tuple(sorted(r.sample(range(40), 2))) for _ in range(45)}
+    relations = [(f"e{a:02d}", f"e{b:02d}", "x", 1) for a, b in sorted(pairs)]
+    mentions = [(f"e{e:02d}", c, r.randrange(1, 4)) for c in range(12) for e in r.sample(range(40), 14)]
+    rel = spark.createDataFrame(relations, "src string, dst string, label string, weight bigint")
+    men = spark.createDataFrame(mentions, "entity string, chunk_id bigint, cnt bigint")
+    monkeypatch.setattr(G, "connected_components", lambda *_: pytest.fail("one group a component"))
+    rows = pd.DataFrame([("r", a, b, 0) for a, b, _, _ in relations] + [("m", e, str(c), n) for e, c, n in mentions], columns=["kind", "a", "b", "n"])
+    for hops, limit in ((1, 0), (2, 0), (3, 0), (3, 10**9)):
+        monkeypatch.setattr(G, "COVER_PAIRS", limit)
+        got = sorted(tuple(x) for x in G.mention_edges_sparse(rel, men, hops).collect())
+        assert got == sorted(G._cover(rows, hops))
