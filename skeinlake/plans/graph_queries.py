@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from skeinlake.operators import communities as C, graph as G, leiden, similarity
+from skeinlake.storage import parts_for
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,8 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    """Partitioned by chunk, a bounded number of lines each: what goes by chunk needs no further exchange."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    parts = parts_for(lines)
+    lines = lines.repartition(parts, "l_orderkey")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(parts, "o_orderkey")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     one = F.struct(
         F.concat(F.lit("Customer "), "o_custkey").alias("From"), F.concat(F.lit("Part "), "l_partkey").alias("To"), F.col("o_orderstatus").alias("Relation")

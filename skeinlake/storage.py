@@ -19,6 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or sc.getCheckpointDir()
 
 
+#: Rows of one task of an exchange whose rows are known before.
+TASK_ROWS = 250_000
+
+
+def parts_for(df: DataFrame) -> int:
+    """Partitions of an exchange of a table, by its rows, so that a task's memory doesn't grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their history, in checkpoint storage."""
     shared_dir(df.sparkSession)

@@ -258,3 +258,16 @@ def test_sparse_cover_by_chunk(spark, monkeypatch):
         monkeypatch.setattr(G, "COVER_PAIRS", limit)
         got = sorted(tuple(x) for x in G.mention_edges_sparse(rel, men, hops).collect())
         assert got == sorted(G._cover(rows, hops))
+
+
+def test_tasks_of_triples_stay_small(spark, monkeypatch):
+    """Partitions follow the rows, and what goes by chunk isn't shuffled again."""
+    from skeinlake import storage
+    from skeinlake.plans import graph_queries as Q
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    folder = "/root/testdata/sf0.001"
+    mentions = Q.entity_mentions(spark, folder)
+    lines = Q._table(spark, folder, "lineitem").count()
+    assert mentions.rdd.getNumPartitions() == -(-lines // 500)
+    assert mentions._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(chunk_id") == 0
