@@ -134,20 +134,20 @@ def vertex_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vertex", F.array_join(F.transform("communities", lambda x: x.cast("string")), "/").alias("path"))
 
 
-def _shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers are linked by the parts that both deliver."""
-    parts = _table(spark, sf_dir, "lineitem").select("l_partkey", F.format_string("S%06d", "l_suppkey").alias("v")).distinct()
-    pairs = parts.select("l_partkey", F.col("v").alias("src")).join(parts.select("l_partkey", F.col("v").alias("dst")), "l_partkey").where("src <> dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+def _shared_parts(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
+    """Edges of communities of suppliers, who are linked by the parts that both deliver."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_suppkey IS NOT NULL")
+    held = lines.select(F.format_string("S%06d", "l_suppkey").alias("vertex"), F.col("l_partkey").alias("item"))
+    return C.shared_community_edges(members, held, parts_for(lines))
 
 
 def two_level_edge_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.community_edges(C.community_tables(_hierarchy(spark, sf_dir)).where("level <= 2"), _shared_parts(spark, sf_dir))
+    return _shared_parts(spark, sf_dir, C.community_tables(_hierarchy(spark, sf_dir)).where("level <= 2"))
 
 
 def two_level_edge_weight_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``two_level_edge_weight``, down to the single suppliers."""
-    return C.community_edges(C.community_tables(_hierarchy(spark, sf_dir)), _shared_parts(spark, sf_dir))
+    return _shared_parts(spark, sf_dir, C.community_tables(_hierarchy(spark, sf_dir)))
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,3 +271,23 @@ def test_tasks_of_triples_stay_small(spark, monkeypatch):
     lines = Q._table(spark, folder, "lineitem").count()
     assert mentions.rdd.getNumPartitions() == -(-lines // 500)
     assert mentions._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(chunk_id") == 0
+
+
+def test_shared_edges_without_pairs(spark):
+    """Weights by counting within items equal those of the graph of all pairs, at every level, with repeated and null rows."""
+    r = random.Random(3)
+    top = {f"v{i:02d}": (i % 3, i % 3 * 10 + i % 2) for i in range(20)}
+    levels = [(v, n, c) for v, (a, b) in top.items() for n, c in ((0, "root"), (1, f"a{a}"), (2, f"b{b:02d}"))]
+    held = [(f"v{r.randrange(23):02d}", r.randrange(6)) for _ in range(90)] + [(None, 1), ("v01", None)]
+    members = C.community_tables(spark.createDataFrame(levels, "vertex string, level int, community string")).cache()
+    own = set(held)
+    weights = {}
+    for v, x in own:
+        for w, y in own:
+            if v and w and x is not None and x == y and v != w:
+                weights[v, w] = weights.get((v, w), 0.0) + 1.0
+    edges = spark.createDataFrame([(a, b, n) for (a, b), n in weights.items()], "src string, dst string, weight double")
+    shared = C.shared_community_edges(members, spark.createDataFrame(held, "vertex string, item bigint"), 3)
+    cols = ("parent_key", "child_key", "weight")
+    assert pairs(shared, *cols) == pairs(C.community_edges(members, edges), *cols)
+    assert any(x[2] > 1 for x in pairs(shared, *cols))
