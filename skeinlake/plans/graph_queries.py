@@ -151,7 +151,9 @@ def two_level_edge_weight_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").groupBy(F.format_string("S%06d", "l_suppkey").alias("entity"), F.col("l_orderkey").alias("chunk_id")).agg(F.count("*").alias("cnt"))
+    """Each line once; the roll-up adds them up."""
+    lines = _table(spark, sf_dir, "lineitem")
+    return lines.select(F.format_string("S%06d", "l_suppkey").alias("entity"), F.col("l_orderkey").alias("chunk_id"), F.lit(1).cast("bigint").alias("cnt"))
 
 
 def community_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

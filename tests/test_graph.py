@@ -291,3 +291,16 @@ def test_shared_edges_without_pairs(spark):
     cols = ("parent_key", "child_key", "weight")
     assert pairs(shared, *cols) == pairs(C.community_edges(members, edges), *cols)
     assert any(x[2] > 1 for x in pairs(shared, *cols))
+
+
+def test_tasks_of_the_rollup_stay_small(spark, monkeypatch):
+    """A fact is shuffled once, not once for each community; partitions follow the facts."""
+    from skeinlake import storage
+    from skeinlake.plans import graph_queries as Q
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    folder = "/root/testdata/sf0.001"
+    df = Q.community_rollup_all(spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(community_key" not in plan and "Exchange hashpartitioning(chunk_id" in plan
+    assert df.rdd.getNumPartitions() == -(-Q._table(spark, folder, "lineitem").count() // 500)
