@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -65,18 +66,17 @@ def with_sentinel(answers: DataFrame, **values: object) -> DataFrame:
     return answers.unionByName(none.join(F.broadcast(some), F.lit(True), "left_anti"))
 
 
-def pack_blocks(items: list[tuple[str, str, str]], limit: int = 4096) -> list[dict]:
-    """Blocks of (text, source, document) items in order. Each item counts its length and a line end.
+def packed(items: Iterable[tuple[str, str, str]], limit: int = 4096) -> Iterator[dict]:
+    """Blocks of (text, source, document) items in order, one after another. Each item counts its length and a line end.
 
     A block that an item would fill to the limit or past it is closed before the item. An item as long as the limit is a
     block of its own, and no block is empty.
     """
-    out: list[dict] = []
     now = {"block": "", "sources": [], "documents": []}
     size = 0
     for text, source, document in items:
         if now["block"] and size + len(text) + 1 >= limit:
-            out.append(now)
+            yield now
             now, size = {"block": "", "sources": [], "documents": []}, 0
         now["block"] += ("\n" if now["block"] else "") + text
         size += len(text) + 1
@@ -84,12 +84,17 @@ def pack_blocks(items: list[tuple[str, str, str]], limit: int = 4096) -> list[di
             if value is not None and value not in now[name]:
                 now[name].append(value)
     if now["block"]:
-        out.append(now)
-    return out
+        yield now
+
 
+def pack_blocks(items: list[tuple[str, str, str]], limit: int = 4096) -> list[dict]:
+    """The same as a list."""
+    return list(packed(items, limit))
 
-#: Texts of one lane of packing, which is one task.
+
+#: Texts of one lane of packing, which is one task, and blocks that a task hands on at once.
 LANE_TEXTS = 20_000
+HANDED_BLOCKS = 256
 
 
 def global_blocks(rows: DataFrame, key: str, text: str, source: str, document: str, seed: int = 0, limit: int = 4096, lanes: int | None = None) -> DataFrame:
@@ -97,7 +102,7 @@ def global_blocks(rows: DataFrame, key: str, text: str, source: str, document: s
 
     Packing is a fold in order, so texts are dealt to lanes by hash, one for each ``LANE_TEXTS`` texts unless ``lanes`` are
     given, and each lane packs its own; a lane's last block is the only one that may stay short. ``lanes=1`` packs
-    everything in one order.
+    everything in one order. A lane is sorted by Spark, which spills, and streams through the fold, which holds one block.
     """
     lanes = lanes or max(1, -(-rows.count() // LANE_TEXTS))
     dealt = rows.select(
@@ -105,13 +110,18 @@ def global_blocks(rows: DataFrame, key: str, text: str, source: str, document: s
         F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(source).cast("string").alias("s"), F.col(document).cast("string").alias("d"),
     ).where(F.col("t").isNotNull())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["o", "k"])
-        blocks = pack_blocks(list(zip(pdf["t"], pdf["s"], pdf["d"])), limit)
-        return pd.DataFrame([{"lane": pdf["lane"].iloc[0], "block_no": i, **b} for i, b in enumerate(blocks)], columns=["lane", "block_no", "block", "sources", "documents"])
+    columns = ["lane", "block_no", "block", "sources", "documents"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts = (row for pdf in batches for row in zip(pdf["lane"], pdf["t"], pdf["s"], pdf["d"]))
+        lane_blocks = (
+            {"lane": lane, "block_no": i, **b} for lane, group in groupby(texts, key=lambda row: row[0]) for i, b in enumerate(packed((row[1:] for row in group), limit))
+        )
+        while some := list(islice(lane_blocks, HANDED_BLOCKS)):
+            yield pd.DataFrame(some, columns=columns)
 
     schema = "lane int, block_no int, block string, sources array<string>, documents array<string>"
-    return dealt.groupBy("lane").applyInPandas(run, schema)
+    return dealt.repartition(4 * lanes, "lane").sortWithinPartitions("lane", "o", "k").mapInPandas(run, schema)  # more partitions than lanes, so that few share one
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, key: str, k: int) -> DataFrame:

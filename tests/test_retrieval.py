@@ -222,3 +222,22 @@ def test_every_row_is_a_query(spark, monkeypatch):
     for i, v in good.items():
         near = sorted((sum((x - y) ** 2 for x, y in zip(v, w)), j) for j, w in good.items() if len(w) == len(v))[:5]
         assert sorted(got[i]) == [(n, j, round(1 / (1 + d), 6)) for n, (d, j) in enumerate(near, 1)]
+
+
+def test_lanes_stream(spark, monkeypatch):
+    """A lane is packed as it comes, not as one group, and gives the blocks of its sorted list."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "t" * (1 + i * 7 % 30), f"s{i}", "d") for i in range(300)]
+    docs = spark.createDataFrame(rows, "k int, t string, s string, d string")
+    monkeypatch.setattr(ranking, "HANDED_BLOCKS", 3)
+    df = ranking.global_blocks(docs, "k", "t", "s", "d", limit=64, lanes=3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInPandas" in plan
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r.lane, r.block_no)):
+        got.setdefault(r.lane, []).append({"block": r.block, "sources": r.sources, "documents": r.documents})
+    keyed = docs.select(F.pmod(F.xxhash64("k"), F.lit(3)).alias("lane"), F.xxhash64("k", F.lit(0)).alias("o"), F.col("k").cast("string").alias("k"), "t", "s", "d").collect()
+    for lane in {r.lane for r in keyed}:
+        items = [(r.t, r.s, r.d) for r in sorted((r for r in keyed if r.lane == lane), key=lambda r: (r.o, r.k))]
+        assert got[lane] == ranking.pack_blocks(items, 64)
