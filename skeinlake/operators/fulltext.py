@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinlake.functions import text as T
+from skeinlake.storage import cut
 
 K1, B = 1.2, 0.75
 
@@ -42,13 +43,16 @@ def terms_of(spark: SparkSession, query: str) -> list[str]:
 def search_texts(docs: DataFrame, id_col: str, text_cols: list[str], query: str, k: int) -> DataFrame:
     """(id, score) of the best ``k`` of a table without an index, by the same BM25, each row a document.
 
-    One scan counts documents, lengths and the query's terms, one scores; nothing is shuffled but sums and top lists.
+    One scan finds each document's length and counts of the query's terms, which are kept; statistics and scores read only those.
+    Nothing is shuffled but sums and top lists.
     """
     asked = terms_of(docs.sparkSession, query)
     words = T.tokens(F.concat_ws(" ", *(F.col(c).cast("string") for c in text_cols)))
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") > 0)
-    count = lambda t: F.aggregate("w", F.lit(0), lambda s, x: s + (x == F.lit(t)).cast("int"))
-    rows = rows.select("id", F.size("w").alias("length"), *(count(t).alias(f"t{i}") for i, t in enumerate(asked)))
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("w"))
+    hits = F.filter("w", lambda x: x.isin(asked)) if asked else F.array().cast("array<string>")
+    rows = rows.select("id", F.size("w").alias("length"), hits.alias("h"))
+    count = lambda t: F.size(F.filter("h", lambda x: x == F.lit(t)))
+    rows = cut(rows.select("id", "length", *(count(t).alias(f"t{i}") for i, t in enumerate(asked)))).where("length > 0")
     found = [F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(asked))]
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *found)
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))

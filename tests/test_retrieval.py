@@ -241,3 +241,11 @@ def test_lanes_stream(spark, monkeypatch):
     for lane in {r.lane for r in keyed}:
         items = [(r.t, r.s, r.d) for r in sorted((r for r in keyed if r.lane == lane), key=lambda r: (r.o, r.k))]
         assert got[lane] == ranking.pack_blocks(items, 64)
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    """Search without an index reads the texts once and ranks from the counts."""
+    docs = spark.createDataFrame([(1, "red fish blue fish"), (2, "one fish"), (3, None), (4, "")], "id int, t string")
+    hits = fulltext.search_texts(docs, "id", ["t"], "fish red", 5)
+    assert [r.id for r in hits.collect()] == [1, 2]
+    assert "regexp" not in hits._jdf.queryExecution().optimizedPlan().toString() and "split" not in hits._jdf.queryExecution().optimizedPlan().toString()
