@@ -1,5 +1,6 @@
 import json
 import random
+import re
 import sys
 
 import pytest
@@ -249,3 +250,17 @@ def test_texts_are_split_once(spark, monkeypatch):
     hits = fulltext.search_texts(docs, "id", ["t"], "fish red", 5)
     assert [r.id for r in hits.collect()] == [1, 2]
     assert "regexp" not in hits._jdf.queryExecution().optimizedPlan().toString() and "split" not in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    """Vectors travel to a fixed number of blocks until a block is full, as floats where they are floats; the hits are exact."""
+    r = random.Random(8)
+    vectors = {i: [float(r.randrange(50)) for _ in range(4)] for i in range(60)}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(similarity, "BLOCKS", 3)
+    hits = similarity.vector_topk_all(table, 2)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(vec_id" in plan and re.findall(r"42\), (\d+)\)", plan) == ["3", "3"] and "array<double>" not in plan
+    want = {(q, j) for q, v in vectors.items() for _, j in sorted((sum((x - y) ** 2 for x, y in zip(v, w)), j) for j, w in vectors.items())[:2]}
+    assert {(h.query_id, h.vec_id) for h in hits.collect()} == want
